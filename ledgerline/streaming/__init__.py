@@ -1,0 +1,5 @@
+"""Empty on purpose: every computation reproduced here is a batch computation.
+
+There are no watermarks, streaming windows or stateful stream operators to match, and
+idle-gap sessionization is a batch window (``operators.ordered``).
+"""
