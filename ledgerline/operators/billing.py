@@ -38,14 +38,14 @@ def dedup_billed(
     rank: Sequence[Column],
     payload: Sequence[str],
 ) -> DataFrame:
-    """One record per billing key: the greatest by ``rank``, compared left to right.
+    """One record per billing key: the smallest by ``rank``, compared left to right.
 
     An aggregate, not a window: copies of a key collapse on the map side, so a key with
     any number of copies sends one row per input partition, and file order cannot
     change the answer.
     """
     best = records.groupBy(*keys).agg(
-        F.max_by(F.struct(*payload), F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)])).alias(
+        F.min_by(F.struct(*payload), F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)])).alias(
             "_best"
         )
     )

@@ -270,7 +270,7 @@ def attribution_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "top_per_axis",
     f"""WITH {ORDER_ATTRIBUTION_SQL},
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY cost DESC, key) AS rank
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY cost DESC, key) AS INT) AS rank
                FROM buckets)
     SELECT * FROM ranked WHERE rank <= 3""",
 )
@@ -561,7 +561,7 @@ def billing_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return billing.dedup_billed(
         table(spark, sf_dir, "lineitem"),
         ["l_orderkey", "l_linenumber"],
-        [F.col("l_quantity"), F.col("l_partkey"), F.col("l_suppkey")],
+        [-F.col("l_quantity"), -F.col("l_partkey"), -F.col("l_suppkey")],
         ["l_quantity", "l_partkey", "l_suppkey", "l_extendedprice"],
     )
 
@@ -663,7 +663,7 @@ def price_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "distinct_images",
     """WITH d AS (SELECT md5(text) AS hash, min(lang) AS lang, min(length(text)) AS w FROM documents GROUP BY 1)
-    SELECT lang AS "mediaType", count(*) AS n, sum(CAST(floor(w * 10 / 750.0 + 0.5) AS BIGINT)) AS "estTokens",
+    SELECT lang AS "mediaType", count(*) AS n, CAST(sum(floor(w * 10 / 750.0 + 0.5)) AS BIGINT) AS "estTokens",
            sum(w * 10) / 1e6 AS megapixels FROM d GROUP BY 1""",
 )
 def distinct_images(spark: SparkSession, sf_dir: str) -> DataFrame:
