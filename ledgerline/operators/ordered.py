@@ -69,6 +69,31 @@ def with_sequence(
     return out.drop(_SLICE, "_offset", "_total", "_carry")
 
 
+def number_in_chunks(
+    df: DataFrame,
+    keys: Sequence[str],
+    chunk: Sequence[str],
+    order: Sequence[str],
+    out: str,
+) -> DataFrame:
+    """Number the rows of each key from 0 by ``order``, whose leading columns ``chunk`` cut
+    the key into bounded pieces (a file's input splits). Pieces are numbered apart and
+    shifted by the sizes of the pieces before."""
+    keys, chunk = list(keys), list(chunk)
+    before = Window.partitionBy(*keys).orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        df.groupBy(*keys, *chunk)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(*keys, *chunk, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    )
+    inside = Window.partitionBy(*keys, *chunk).orderBy(*order)
+    return (
+        df.join(offsets, [*keys, *chunk])
+        .withColumn(out, F.col("_o") + F.row_number().over(inside) - 1)
+        .drop("_o")
+    )
+
+
 def gap_usage(
     df: DataFrame,
     keys: Sequence[str],
