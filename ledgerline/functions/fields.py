@@ -266,23 +266,24 @@ def tool_summary(name: Column, tool_input: Column) -> Column:
     equally long ones the first by field name.
     """
     fields = F.try_variant_get(tool_input, "$", "map<string,variant>")
+    known = F.create_map(
+        *[x for tool, keys in TOOL_SUMMARY_KEYS.items() for x in (F.lit(tool), F.lit("\n".join(keys)))]
+    )
+    listed = F.split(F.try_element_at(known, name), "\n")
+    chosen = F.transform(listed, lambda k: V.named(F.try_element_at(fields, k), "$"))
     texts = F.transform(
         F.map_entries(fields),
-        lambda e: F.struct(
-            (-F.length(V.named(e["value"], "$"))).alias("rank"),
-            e["key"].alias("field"),
-            V.named(e["value"], "$").alias("text"),
-        ),
+        lambda e: F.struct(e["key"].alias("field"), V.named(e["value"], "$").alias("text")),
     )
-    longest = F.try_element_at(
-        F.array_sort(F.filter(texts, lambda t: t["text"].isNotNull())), F.lit(1)
-    )["text"]
-    chosen = F.when(~F.coalesce(name.isin(*TOOL_SUMMARY_KEYS), F.lit(False)), longest)
-    for tool, keys in TOOL_SUMMARY_KEYS.items():
-        chosen = chosen.when(
-            name == tool, F.coalesce(*[V.named(tool_input, f"$.{k}") for k in keys])
+    ranked = F.array_sort(
+        F.transform(
+            F.filter(texts, lambda t: t["text"].isNotNull()),
+            lambda t: F.struct((-F.length(t["text"])).alias("rank"), t["field"], t["text"]),
         )
-    return F.when(V.is_object(tool_input), chosen)
+    )
+    return F.when(
+        listed.isNotNull(), F.try_element_at(F.array_compact(chosen), F.lit(1))
+    ).otherwise(F.try_element_at(ranked, F.lit(1))["text"])
 
 
 def tool_outcome(v: Column) -> Column:

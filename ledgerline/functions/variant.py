@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 def _type(v: Column, path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    return F.schema_of_variant(v if path == "$" else F.try_variant_get(v, path, "variant"))
 
 
 def at(v: Column, path: str) -> Column:
@@ -20,12 +20,12 @@ def at(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
 
-def text(v: Column, path: str) -> Column:
+def text(v: Column, path: str = "$") -> Column:
     """Only text; numbers and booleans are not turned into text."""
     return F.when(_type(v, path) == "STRING", F.try_variant_get(v, path, "string"))
 
 
-def named(v: Column, path: str) -> Column:
+def named(v: Column, path: str = "$") -> Column:
     """Text that is not empty."""
     return F.nullif(text(v, path), F.lit(""))
 
@@ -35,7 +35,13 @@ def _numeric(v: Column, path: str) -> Column:
     return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
 
 
-def number(v: Column, path: str) -> Column:
+def parts(v: Column, **paths: str) -> list[Column]:
+    """Untyped values at several paths, as columns of their own. Reading types from these
+    walks each path once instead of once per test."""
+    return [at(v, path).alias(name) for name, path in paths.items()]
+
+
+def number(v: Column, path: str = "$") -> Column:
     """Only real numbers, else NULL."""
     return F.when(_numeric(v, path), F.try_variant_get(v, path, "double"))
 
@@ -45,7 +51,7 @@ def count(v: Column, path: str) -> Column:
     return F.coalesce(F.floor(number(v, path) + 0.5).cast("long"), F.lit(0).cast("long"))
 
 
-def flag(v: Column, path: str) -> Column:
+def flag(v: Column, path: str = "$") -> Column:
     """Only booleans, else NULL."""
     return F.when(_type(v, path) == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
 
@@ -66,7 +72,7 @@ def is_array(v: Column, path: str = "$") -> Column:
     return F.coalesce(F.startswith(_type(v, path), F.lit("ARRAY")), F.lit(False))
 
 
-def items(v: Column, path: str) -> Column:
+def items(v: Column, path: str = "$") -> Column:
     """The elements of an array; an empty array for anything else."""
     return F.coalesce(
         F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>")

@@ -20,6 +20,7 @@ from ledgerline.plans.normalize import Normalized, normalize
 from ledgerline.plans.registry import query, table
 from ledgerline.plans.replay_grain import replay_rows
 from ledgerline.sources.prices import prices_from_json
+from ledgerline.sources.scratch import materialize
 from ledgerline.sources.transcripts import FILE_COLUMNS, classify
 
 RATES = {
@@ -144,6 +145,8 @@ def event_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
         e.alias("lineIdx"),
         F.length("props").cast("long").alias("bytes"),
     )
+    # Stored first, as transcripts are: the normalizer reads text from files.
+    raw = materialize(raw, "event-lines")
     lines = classify(raw, ["/t"])
     files = classify(raw.groupBy("path").agg(F.sum("bytes").alias("bytes")), ["/t"]).select(*FILE_COLUMNS)
     return lines, files

@@ -20,6 +20,9 @@ RUNTIME_CONF = {
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     # Re-exporting replaces the partitions it touches and leaves the others alone.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Methods over 8000 bytes are never compiled by the JVM; above that, parsing stages use
+    # expression-level code, which is split into small methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -132,7 +132,9 @@ def parse_records(lines: DataFrame) -> DataFrame:
     text = F.trim("value", F.lit(" \t\r\n\f"))
     parsed = lines.where(text != "").withColumn("rec", F.try_parse_json("value"))
     bad = F.col("rec").isNull()
-    return parsed.withColumn("bad", bad).where(bad | F.startswith(text, F.lit("{"))).drop("value")
+    # The filter moves below the parse; testing the first character first means that only
+    # lines that cannot be objects are parsed a second time.
+    return parsed.withColumn("bad", bad).where(F.startswith(text, F.lit("{")) | bad).drop("value")
 
 
 def transcript_files(spark: SparkSession, roots: Sequence[str], created: DataFrame | None = None) -> DataFrame:
