@@ -148,51 +148,63 @@ def project_label(slug: Column, cwd: Column) -> Column:
 
 # --- usage ------------------------------------------------------------------
 
-UNIT_FIELDS = (
-    "model", "kind", "input", "output", "cacheCreate", "cacheRead",
-    "cache5m", "cache1h", "webSearches", "webFetches",
+# The fields of a usage object, taken in one step and typed afterwards.
+_USAGE = (
+    "struct<model variant, type variant, input_tokens variant, output_tokens variant, "
+    "cache_creation_input_tokens variant, cache_read_input_tokens variant, "
+    "cache_creation variant, server_tool_use variant, iterations variant>"
 )
 
 
-def _unit(usage: Column, model: Column, kind: Column) -> Column:
+def _unit(usage: Column, model: Column) -> Column:
     return F.struct(
-        model.alias("model"),
-        kind.alias("kind"),
-        V.count(usage, "$.input_tokens").alias("input"),
-        V.count(usage, "$.output_tokens").alias("output"),
-        V.count(usage, "$.cache_creation_input_tokens").alias("cacheCreate"),
-        V.count(usage, "$.cache_read_input_tokens").alias("cacheRead"),
-        V.count(usage, "$.cache_creation.ephemeral_5m_input_tokens").alias("cache5m"),
-        V.count(usage, "$.cache_creation.ephemeral_1h_input_tokens").alias("cache1h"),
-        V.count(usage, "$.server_tool_use.web_search_requests").alias("webSearches"),
-        V.count(usage, "$.server_tool_use.web_fetch_requests").alias("webFetches"),
+        F.coalesce(V.text(usage["model"]), model).alias("model"),
+        V.text(usage["type"]).alias("kind"),
+        V.count(usage["input_tokens"]).alias("input"),
+        V.count(usage["output_tokens"]).alias("output"),
+        V.count(usage["cache_creation_input_tokens"]).alias("cacheCreate"),
+        V.count(usage["cache_read_input_tokens"]).alias("cacheRead"),
+        V.count(usage["cache_creation"], "$.ephemeral_5m_input_tokens").alias("cache5m"),
+        V.count(usage["cache_creation"], "$.ephemeral_1h_input_tokens").alias("cache1h"),
+        V.count(usage["server_tool_use"], "$.web_search_requests").alias("webSearches"),
+        V.count(usage["server_tool_use"], "$.web_fetch_requests").alias("webFetches"),
     )
 
 
-def _present(v: Column, path: str) -> Column:
-    """Neither missing nor null, false, zero or empty text."""
-    held = V.at(v, path)
-    void = F.is_variant_null(held) | held.cast("string").isin("", "0", "false")
-    simple = V._type(v, path).isin("STRING", "BIGINT", "BOOLEAN", "VOID", "DOUBLE")
-    return held.isNotNull() & ~(F.coalesce(simple, F.lit(False)) & F.coalesce(void, F.lit(False)))
+def _void(v: Column, fields: Column) -> Column:
+    """Missing, null, false, zero or empty text. Objects are told apart first, cheaply."""
+    empty = F.coalesce(v.cast("string"), F.lit("")).isin("", "0", "false")
+    return F.when(fields.isNotNull(), False).otherwise(v.isNull() | F.is_variant_null(v) | empty)
 
 
-def billable_units(v: Column) -> Column:
+def usage_parts(v: Column) -> dict[str, Column]:
+    """What ``billable_units`` reads, as columns to select before calling it."""
+    return {
+        "_usage": V.at(v, "$.message.usage"),
+        "_usageFields": F.try_variant_get(v, "$.message.usage", _USAGE),
+    }
+
+
+def billable_units(usage: Column, fields: Column, model: Column) -> Column:
     """Attempts billed for one record: the iteration ledger, else the top-level usage.
 
     On a fallback the ledger holds the discarded attempt too, which top-level usage omits.
+    ``usage`` and ``fields`` are the columns of ``usage_parts``.
     """
-    usage = V.at(v, "$.message.usage")
-    model = V.text(v, "$.message.model")
-    ledger = V.items(v, "$.message.usage.iterations")
+    ledger = V.items(fields["iterations"])
+    nothing = F.lit(None).cast("variant")
+    whole = fields.withField("model", nothing).withField("type", nothing)
     per_attempt = F.transform(
-        ledger,
-        lambda it: _unit(it, F.coalesce(V.text(it, "$.model"), model), V.text(it, "$.type")),
+        F.transform(ledger, lambda it: F.try_variant_get(it, "$", _USAGE)),
+        lambda u: _unit(u, model),
+    )
+    # Most records have no ledger, and their single unit is built without a lambda.
+    single = F.array(_unit(whole, model))
+    return (
+        F.when(_void(usage, fields), F.slice(single, 1, 0))
+        .when(F.size(ledger) > 0, per_attempt)
+        .otherwise(single)
     )
-    whole = F.array(_unit(usage, model, F.lit(None).cast("string")))
-    return F.when(
-        _present(v, "$.message.usage"), F.when(F.size(ledger) > 0, per_attempt).otherwise(whole)
-    ).otherwise(F.filter(whole, lambda u: F.lit(False)))
 
 
 def units_sum(units: Column, field: str) -> Column:
@@ -232,7 +244,7 @@ def thinking_chars(blocks: Column) -> Column:
         F.lit(0).cast("long"),
         lambda n, b: n
         + F.when(
-            V.text(b, "$.type") == "thinking",
+            V.equals(b, "$.type", "thinking"),
             F.coalesce(F.length(V.text(b, "$.thinking")), F.lit(0)),
         )
         .otherwise(0)
@@ -242,7 +254,7 @@ def thinking_chars(blocks: Column) -> Column:
 
 def tool_uses(blocks: Column) -> Column:
     """Id and name of each call; the input stays in the block."""
-    calls = F.filter(blocks, lambda b: V.text(b, "$.type") == "tool_use")
+    calls = F.filter(blocks, lambda b: V.equals(b, "$.type", "tool_use"))
     return F.transform(
         calls,
         lambda b: F.struct(V.text(b, "$.id").alias("id"), V.text(b, "$.name").alias("name")),
@@ -250,7 +262,7 @@ def tool_uses(blocks: Column) -> Column:
 
 
 def tool_result_ids(blocks: Column) -> Column:
-    results = F.filter(blocks, lambda b: V.text(b, "$.type") == "tool_result")
+    results = F.filter(blocks, lambda b: V.equals(b, "$.type", "tool_result"))
     return F.transform(
         results,
         lambda b: F.struct(
@@ -286,29 +298,51 @@ def tool_summary(name: Column, tool_input: Column) -> Column:
     ).otherwise(F.try_element_at(ranked, F.lit(1))["text"])
 
 
-def tool_outcome(v: Column) -> Column:
-    """What a tool reported about itself, from the record carrying its result."""
-    path = "$.toolUseResult"
-    shape = (
-        F.when(V.is_text(v, path), "string")
-        .when(V.is_array(v, path), "array")
-        .when(V.is_object(v, path), "object")
+_OUTCOME = (
+    "struct<success variant, interrupted variant, error variant, stderr variant, "
+    "exitCode variant, durationMs variant>"
+)
+
+
+def outcome_parts(v: Column) -> dict[str, Column]:
+    """What ``tool_outcome`` reads, as columns to select before calling it."""
+    return {
+        "_result": V.at(v, "$.toolUseResult"),
+        "_resultFields": F.try_variant_get(v, "$.toolUseResult", _OUTCOME),
+    }
+
+
+def tool_outcome(result: Column, body: Column) -> Column:
+    """What a tool reported about itself, from the record carrying its result.
+
+    The report may be an object, a list or plain text; ``result`` and ``body`` are the
+    columns of ``outcome_parts``.
+    """
+    def report(shape: str, size: Column, **told: Column) -> Column:
+        kinds = {
+            "ok": "boolean", "interrupted": "boolean", "error": "string", "exitCode": "double",
+            "durationMs": "double",
+        }
+        return F.struct(
+            F.lit(shape).alias("shape"),
+            *[told.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in kinds.items()],
+            size.cast("int").alias("size"),
+        )
+
+    from_object = report(
+        "object",
+        F.lit(0),
+        ok=V.flag(body["success"]),
+        interrupted=V.is_true(body["interrupted"], "$"),
+        error=F.coalesce(V.named(body["error"]), V.named(body["stderr"])),
+        exitCode=V.number(body["exitCode"]),
+        durationMs=V.number(body["durationMs"]),
     )
-    body = F.when(shape == "object", V.at(v, path))
     return F.when(
-        shape.isNotNull(),
-        F.struct(
-            shape.alias("shape"),
-            V.flag(body, "$.success").alias("ok"),
-            F.when(shape == "object", V.is_true(body, "$.interrupted")).alias("interrupted"),
-            F.coalesce(V.named(body, "$.error"), V.named(body, "$.stderr")).alias("error"),
-            V.number(body, "$.exitCode").alias("exitCode"),
-            V.number(body, "$.durationMs").alias("durationMs"),
-            F.when(shape == "string", F.length(V.text(v, path)))
-            .when(shape == "array", F.size(V.items(v, path)))
-            .otherwise(0)
-            .alias("size"),
-        ),
+        result.isNotNull(),
+        F.when(body.isNotNull(), from_object)
+        .when(V.is_array(result), report("array", F.size(V.items(result))))
+        .when(V.is_text(result), report("string", F.length(V.text(result)))),
     )
 
 
@@ -317,7 +351,7 @@ def result_text(block: Column) -> Column:
     parts = F.transform(
         V.items(block, "$.content"),
         lambda b: F.coalesce(
-            V.named(b, "$.text"), F.when(V.text(b, "$.type") == "image", F.lit("[image]"))
+            V.named(b, "$.text"), F.when(V.equals(b, "$.type", "image"), F.lit("[image]"))
         ),
     )
     return F.coalesce(V.text(block, "$.content"), F.array_join(F.array_compact(parts), "\n"))

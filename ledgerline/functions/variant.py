@@ -30,9 +30,14 @@ def named(v: Column, path: str = "$") -> Column:
     return F.nullif(text(v, path), F.lit(""))
 
 
+def equals(v: Column, path: str, value: str) -> Column:
+    """The value is this text. Nothing but text reads as a word, so no type test is needed."""
+    return F.coalesce(F.try_variant_get(v, path, "string") == F.lit(value), F.lit(False))
+
+
 def _numeric(v: Column, path: str) -> Column:
-    kind = _type(v, path)
-    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    """BIGINT, DOUBLE, FLOAT and any DECIMAL(p,s)."""
+    return F.left(_type(v, path), F.lit(3)).isin("BIG", "DOU", "FLO", "DEC")
 
 
 def parts(v: Column, **paths: str) -> list[Column]:
@@ -46,7 +51,7 @@ def number(v: Column, path: str = "$") -> Column:
     return F.when(_numeric(v, path), F.try_variant_get(v, path, "double"))
 
 
-def count(v: Column, path: str) -> Column:
+def count(v: Column, path: str = "$") -> Column:
     """A whole number, rounded half up; 0 when the value is not a number."""
     return F.coalesce(F.floor(number(v, path) + 0.5).cast("long"), F.lit(0).cast("long"))
 
@@ -61,7 +66,8 @@ def is_true(v: Column, path: str) -> Column:
 
 
 def is_object(v: Column, path: str = "$") -> Column:
-    return F.coalesce(F.startswith(_type(v, path), F.lit("OBJECT")), F.lit(False))
+    """Only objects convert to a struct; the check looks up one key and builds no schema."""
+    return F.try_variant_get(v, path, "struct<type variant>").isNotNull()
 
 
 def is_text(v: Column, path: str = "$") -> Column:
@@ -69,7 +75,7 @@ def is_text(v: Column, path: str = "$") -> Column:
 
 
 def is_array(v: Column, path: str = "$") -> Column:
-    return F.coalesce(F.startswith(_type(v, path), F.lit("ARRAY")), F.lit(False))
+    return F.try_variant_get(v, path, "array<variant>").isNotNull()
 
 
 def items(v: Column, path: str = "$") -> Column:

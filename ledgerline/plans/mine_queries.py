@@ -146,7 +146,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
         F.length("props").cast("long").alias("bytes"),
     )
     # Stored first, as transcripts are: the normalizer reads text from files.
-    raw = materialize(raw, "event-lines")
+    raw = materialize(raw.repartition("path"), "event-lines")
     lines = classify(raw, ["/t"])
     files = classify(raw.groupBy("path").agg(F.sum("bytes").alias("bytes")), ["/t"]).select(*FILE_COLUMNS)
     return lines, files

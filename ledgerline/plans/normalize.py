@@ -62,21 +62,27 @@ class Normalized:
 
 def record_facts(records: DataFrame) -> DataFrame:
     """One narrow row per record: identity, place, tokens, structure counts, references."""
-    v = F.col("rec")
-    blocks = R.content_blocks(v)
-    units = R.billable_units(v)
-    calls = R.tool_uses(blocks)
-    assistant = R.record_type(v) == "assistant"
+    raw = F.col("rec")
+    kept = [
+        *ORDER, "projectSlug", "fileSessionId", "fileKind", "fileAgentId", "workflowId", "bad",
+    ]
+    # Paths several columns read are walked once, here.
+    opened = records.select(
+        *kept,
+        "rec",
+        R.record_type(raw).alias("type"),
+        R.content_blocks(raw).alias("_blocks"),
+        V.text(raw, "$.message.model").alias("modelName"),
+        *[c.alias(name) for name, c in R.usage_parts(raw).items()],
+        *[c.alias(name) for name, c in R.outcome_parts(raw).items()],
+    )
+    v, blocks = F.col("rec"), F.col("_blocks")
+    assistant, user = F.col("type") == "assistant", F.col("type") == "user"
     none = F.lit(0).cast("long")
-    with_parts = records.select(
-        *ORDER,
-        "projectSlug",
-        "fileSessionId",
-        "fileKind",
-        "fileAgentId",
-        "workflowId",
-        "bad",
-        R.record_type(v).alias("type"),
+    with_parts = opened.select(
+        *kept,
+        "type",
+        "modelName",
         V.text(v, "$.uuid").alias("uuid"),
         V.text(v, "$.session_id").alias("originSession"),
         R.is_inherited(v).alias("inherited"),
@@ -85,23 +91,24 @@ def record_facts(records: DataFrame) -> DataFrame:
         V.text(v, "$.agentId").alias("agentId"),
         F.when(assistant, R.message_id(v)).alias("messageId"),
         V.text(v, "$.requestId").alias("requestId"),
-        V.text(v, "$.message.model").alias("modelName"),
         V.text(v, "$.slug").alias("slug"),
         *[V.text(v, f"$.{path}").alias(name) for name, path in TURN_TEXT.items()],
         R.is_wasted(v).alias("aborted"),
-        F.when(assistant, units).alias("units"),
+        F.when(
+            assistant, R.billable_units(F.col("_usage"), F.col("_usageFields"), F.col("modelName"))
+        ).alias("units"),
         F.when(assistant, F.size(blocks).cast("long")).otherwise(none).alias("nBlocks"),
         F.when(assistant, R.thinking_chars(blocks)).otherwise(none).alias("nThinkingChars"),
-        F.when(assistant, calls).alias("toolUses"),
-        F.when(R.record_type(v) == "user", R.tool_result_ids(blocks)).alias("toolResults"),
-        R.tool_outcome(v).alias("outcome"),
+        F.when(assistant, R.tool_uses(blocks)).alias("toolUses"),
+        F.when(user, R.tool_result_ids(blocks)).alias("toolResults"),
+        R.tool_outcome(F.col("_result"), F.col("_resultFields")).alias("outcome"),
         R.compaction(v).alias("compaction"),
         R.fallback_event(v).alias("fallback"),
         V.text(v, "$.apiRefusalCategory").alias("refusal"),
         R.fork_context(v).alias("forkContext"),
         R.explicit_name(v).alias("explicit"),
         R.ai_name(v).alias("ai"),
-        I.image_refs(v).alias("images"),
+        I.image_refs(v, blocks).alias("images"),
     )
     # A record without uuid counts as its own member of a response.
     place = F.concat_ws("\x01", *[F.col(c).cast("string") for c in ORDER])

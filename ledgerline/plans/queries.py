@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerline.plans import fork_queries, mine_queries, spend_queries, timeline_queries  # noqa: F401
+from ledgerline.plans import (  # noqa: F401
+    fork_queries,
+    mine_queries,
+    record_queries,
+    spend_queries,
+    timeline_queries,
+)
 from ledgerline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
