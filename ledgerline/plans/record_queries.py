@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import fields as R
@@ -65,11 +65,14 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
            CASE k WHEN 0 THEN 'session' WHEN 1 THEN 'subagent' WHEN 2 THEN 'workflow-agent' WHEN 3 THEN 'workflow-journal' ELSE 'session' END AS "fileKind",
            CASE WHEN k IN (1, 2) THEN 'a' || s WHEN k = 4 THEN s END AS "fileAgentId",
            CASE WHEN k IN (2, 3) THEN 'wf_' || s END AS "workflowId",
-           row_number() OVER (ORDER BY slug, CASE WHEN k IN (1, 2, 3) THEN s WHEN k = 0 THEN s || '.jsonl' ELSE 'agent-' || s || '.jsonl' END) AS place
+           '0001' || chr(1) || slug || chr(1) || CASE k WHEN 0 THEN s || '.jsonl' WHEN 4 THEN 'agent-' || s || '.jsonl'
+             WHEN 1 THEN s || chr(1) || 'subagents' || chr(1) || 'agent-a' || s || '.jsonl'
+             WHEN 2 THEN s || chr(1) || 'subagents' || chr(1) || 'workflows' || chr(1) || 'wf_' || s || chr(1) || 'agent-a' || s || '.jsonl'
+             ELSE s || chr(1) || 'subagents' || chr(1) || 'workflows' || chr(1) || 'wf_' || s || chr(1) || 'journal.jsonl' END AS walk
     FROM f""",
 )
 def path_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths of every kind; ``place`` checks that the walk key sorts as the walk goes."""
+    """Paths of every kind below the second of two roots, with their place in the walk."""
     k = F.col("page_id") % 5
     s = F.concat(F.lit("s"), F.col("page_id").cast("string"))
     tail = (
@@ -83,14 +86,8 @@ def path_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", F.concat(F.lit("/r/p"), (F.col("page_id") % 9).cast("string"), F.lit("/"), tail).alias("path")
     )
     facts = classify(paths, ["/none", "/r"])
-    # The place among all files, counted from walk keys per project so no task sees them all.
-    sizes = facts.groupBy("projectSlug").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("projectSlug").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("projectSlug", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("o"))
-    rank = F.row_number().over(Window.partitionBy("projectSlug").orderBy("walk"))
-    return facts.join(offsets, "projectSlug").select(
-        "page_id", "projectSlug", "fileSessionId", "fileKind", "fileAgentId", "workflowId",
-        (F.col("o") + rank).alias("place"),
+    return facts.select(
+        "page_id", "projectSlug", "fileSessionId", "fileKind", "fileAgentId", "workflowId", "walk"
     )
 
 

@@ -38,17 +38,18 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one only where none is configured."""
+    """The shared checkpoint folder the session names; a temporary one only in local runs
+    that name none."""
     current = spark.sparkContext.getCheckpointDir()
-    if current:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if current and (not named or named.rstrip("/") in current):
         return current
-    target = spark.conf.get("spark.checkpoint.dir", None)
-    if not target:
+    if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        target = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
-    spark.sparkContext.setCheckpointDir(target)
-    return target
+        named = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
+    spark.sparkContext.setCheckpointDir(named)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def build_session(app: str = "ledgerline", cores: str | None = None) -> SparkSession:
