@@ -11,7 +11,15 @@ PALETTE_SIZE = 12
 
 
 def _fixed(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value.cast("double"))
+    """A fixed number of decimals, rounding the stored binary value; exact ties go up.
+
+    A value is an exact tie when 2 ** (digits + 1) times it is an odd whole number.
+    """
+    x = value.cast("double")
+    tie = (x * float(2 ** (digits + 1))) % 2.0 == 1.0
+    lifted = F.when(tie, x + 0.2 * 10.0**-digits).otherwise(x)
+    pattern = "0" if digits == 0 else "0." + "0" * digits
+    return F.call_function("format_number", lifted, F.lit(pattern))
 
 
 def usd(amount: Column) -> Column:

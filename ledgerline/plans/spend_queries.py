@@ -502,6 +502,12 @@ def compaction_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detail.session_compactions(events)
 
 
+def _printed(x: str, digits: int) -> str:
+    """SQL for a fixed number of decimals with exact ties going up."""
+    lifted = f"CASE WHEN ({x}) * {2 ** (digits + 1)} % 2 = 1 THEN ({x}) + {0.2 * 10**-digits:.5f} ELSE {x} END"
+    return f"printf('%.{digits}f', CAST({lifted} AS DOUBLE))"
+
+
 @query(
     "report_formats",
     f"""WITH {TURNS_SQL}, s AS (
@@ -509,11 +515,11 @@ def compaction_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
              CAST(sum(CASE WHEN project = 'click' THEN cost ELSE 0 END) AS DOUBLE) AS part
       FROM turns GROUP BY 1)
     SELECT sessionId AS "sessionId",
-           CASE WHEN c >= 100 THEN '$' || printf('%.0f', c) WHEN c >= 1 THEN '$' || printf('%.2f', c)
-                ELSE '$' || printf('%.3f', c) END AS usd,
-           CASE WHEN c > 0 THEN printf('%.1f', part / c * 100) || '%' ELSE '—' END AS pct,
-           CASE WHEN span >= 86400000 THEN printf('%.1f', span / 86400000) || 'd'
-                WHEN span >= 3600000 THEN printf('%.1f', span / 3600000) || 'h'
+           CASE WHEN c >= 100 THEN '$' || {_printed("c", 0)} WHEN c >= 1 THEN '$' || {_printed("c", 2)}
+                ELSE '$' || {_printed("c", 3)} END AS usd,
+           CASE WHEN c > 0 THEN {_printed("part / c * 100", 1)} || '%' ELSE '—' END AS pct,
+           CASE WHEN span >= 86400000 THEN {_printed("span / 86400000", 1)} || 'd'
+                WHEN span >= 3600000 THEN {_printed("span / 3600000", 1)} || 'h'
                 ELSE CAST(greatest(1, CAST(floor(span / 60000 + 0.5) AS BIGINT)) AS VARCHAR) || 'm' END AS dur,
            strftime(make_timestamp(last * 1000), '%Y-%m-%d %H:%M') AS "when",
            strftime(make_timestamp(last * 1000), '%Y-%m-%d') AS "day",

@@ -278,6 +278,11 @@ def test_formats(spark):
     df = spark.createDataFrame([(0.1234, 29_000), (1.5, 3_600_000), (99.999, 90_000_000), (100.4, 90_000)], "c double, ms long")
     got = df.select(formats.usd(F.col("c")), formats.duration(F.col("ms")), formats.cost_tier(F.col("c"))).collect()
     assert [tuple(r) for r in got] == [("$0.123", "1m", 0), ("$1.50", "1.0h", 1), ("$100.00", "1.0d", 3), ("$100", "2m", 3)]
+    # The stored value decides (1.005 lies below its digits); exact ties go up.
+    odd = spark.createDataFrame([(1.005,), (1.125,), (100.5,), (2.675,), (1234567.5,)], "c double")
+    assert [r[0] for r in odd.select(formats.usd(F.col("c"))).collect()] == [
+        "$1.00", "$1.13", "$101", "$2.67", "$1234568",
+    ]
     assert spark.range(1).select(formats.pct(F.lit(1), F.lit(0))).collect()[0][0] == "—"
 
 
