@@ -94,6 +94,30 @@ def number_in_chunks(
     )
 
 
+# Larger than the number of rows any piece of a file can hold.
+CHUNK_SPAN = 1_000_000_000
+
+
+def order_in_chunks(
+    df: DataFrame,
+    chunks: DataFrame,
+    keys: Sequence[str],
+    chunk: Sequence[str],
+    order: Sequence[str],
+    out: str,
+) -> DataFrame:
+    """Like ``number_in_chunks`` but with gaps, from a list of pieces instead of their sizes.
+
+    Listing pieces is cheap where counting their rows would compute the rows twice.
+    """
+    keys, chunk = list(keys), list(chunk)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*chunk)) - 1
+    ranked = chunks.select(*keys, *chunk).distinct().select(*keys, *chunk, rank.alias("_piece"))
+    inside = Window.partitionBy(*keys, *chunk).orderBy(*order)
+    number = F.col("_piece").cast("long") * CHUNK_SPAN + F.row_number().over(inside) - 1
+    return df.join(ranked, [*keys, *chunk]).withColumn(out, number).drop("_piece")
+
+
 def gap_usage(
     df: DataFrame,
     keys: Sequence[str],

@@ -19,6 +19,7 @@ from ledgerline.plans.replay_grain import replay_rows
 from ledgerline.session import configure
 from ledgerline.sources import sinks
 from ledgerline.sources.prices import read_prices
+from ledgerline.sources.scratch import release
 from ledgerline.sources.transcripts import existing_roots, read_lines, transcript_files
 
 
@@ -87,6 +88,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"invariants violated: {e}", file=sys.stderr)
         return 1
     result.stats.show(vertical=True, truncate=False)
+    release(spark)
     return 0
 
 
