@@ -154,7 +154,9 @@ def gap_usage(
         *[F.max(c).alias(f"_m_{name}") for name, c in maxima.items()],
     )
     border = F.col("_t0") - F.lag("_t1").over(Window.partitionBy(*keys).orderBy(_SLICE))
-    parts = parts.withColumn("_work", F.col("_work") + worked(border))
+    parts = parts.withColumn("_border", border).withColumn(
+        "_work", F.col("_work") + worked(F.col("_border"))
+    )
     return parts.groupBy(*keys).agg(
         F.min("_t0").alias("firstMs"),
         F.max("_t1").alias("lastMs"),

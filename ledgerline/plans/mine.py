@@ -55,13 +55,14 @@ def mine(
         "pricing": price_version,
         "generatedAt": datetime.now(timezone.utc).isoformat(),
     }
-    sinks.write_manifest(spark, out, source, result.grains, result.stats, found)
     if found:
+        sinks.write_manifest(spark, out, source, result.grains, result.stats, found)
         raise quality.InvariantError("; ".join(found))
     sinks.export_corpus(result.grains, out, username, host, months)
     if replay:
         sinks.write_replay(replay_rows(lines), out)
-    sinks.write_index(spark, out, source["generatedAt"], {host: host})
+    sizes = sinks.write_index(spark, out, source["generatedAt"], {host: host})
+    sinks.write_manifest(spark, out, source, result.grains, result.stats, found, sizes)
     return result
 
 

@@ -179,7 +179,7 @@ def result_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "project_labels",
     """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'repo' || CAST(page_id % 11 AS VARCHAR)
-           WHEN 1 THEN CASE WHEN page_id % 2 = 0 THEN 'wt' ELSE 'deep' END ELSE 'helium' END AS project
+           WHEN 1 THEN CASE WHEN page_id % 2 = 0 THEN 'wt' ELSE 'deep' END ELSE 'lamp' END AS project
     FROM pages""",
 )
 def project_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +189,7 @@ def project_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         n % 3 == 1, F.when(n % 2 == 0, "/srv/wt/").otherwise("/srv/wt/deep")
     )
     return table(spark, sf_dir, "pages").select(
-        "page_id", R.project_label(F.lit("-home-n-src-helium"), cwd).alias("project")
+        "page_id", R.project_label(F.lit("-home-n-src-lamp"), cwd).alias("project")
     )
 
 

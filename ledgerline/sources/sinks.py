@@ -231,9 +231,11 @@ def write_json(spark: SparkSession, path: str, document: Mapping) -> None:
     frame.coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_index(spark: SparkSession, prefix: str, generated_at: str, hosts: Mapping[str, str]) -> None:
+def write_index(
+    spark: SparkSession, prefix: str, generated_at: str, hosts: Mapping[str, str]
+) -> dict[str, int]:
     """Corpus index: shards (with their users and hosts) as JSON lines, and a document with
-    policies, host names and totals."""
+    policies, host names and totals. Returns the bytes of each grain."""
     present = [g.name for g in GRAINS if holds_parquet(spark, f"{prefix}/{g.name}")]
     shards = shard_index(spark, prefix, present)
     shards.write.mode("overwrite").json(f"{prefix}/index-shards")
@@ -255,6 +257,7 @@ def write_index(spark: SparkSession, prefix: str, generated_at: str, hosts: Mapp
             },
         },
     )
+    return {r["grain"]: r["bytes"] for r in per_grain}
 
 
 def write_manifest(
@@ -264,14 +267,21 @@ def write_manifest(
     grains: Mapping[str, DataFrame],
     stats: DataFrame,
     problems: Sequence[str],
+    sizes: Mapping[str, int] | None = None,
 ) -> None:
-    """Where the grains came from, their sizes, the statistics and the invariants' verdict."""
+    """Where the grains came from, their sizes, the statistics and the invariants' verdict.
+
+    ``sizes`` are bytes by grain; a grain that was not written has none.
+    """
+    sizes = sizes or {}
     write_json(
         spark,
         f"{folder}/manifest",
         {
             "source": dict(source),
-            "tables": {name: {"rows": df.count()} for name, df in grains.items()},
+            "tables": {
+                name: {"rows": df.count(), "bytes": sizes.get(name)} for name, df in grains.items()
+            },
             "stats": stats.collect()[0].asDict(),
             "invariants": {"ok": not problems, "problems": list(problems)},
         },

@@ -181,6 +181,8 @@ def test_index_and_manifest(spark, mined):
     manifest = corpus.read_sidecar(spark, f"{mined['out']}/manifest")
     assert manifest["invariants"] == {"ok": True, "problems": []}
     assert manifest["stats"]["parseErrors"] == 1 and manifest["tables"]["turns"]["rows"] == 4
+    assert manifest["tables"]["turns"]["bytes"] == sum(r["bytes"] for r in rows if r["grain"] == "turns")
+    assert manifest["tables"]["images"] == {"rows": 0, "bytes": None}
     assert corpus.read_sidecar(spark, f"{mined['out']}/none") is None
     one = [r["path"] for r in rows if r["month"] == "2026-06"]
     assert corpus.read_shards(spark, mined["out"], one).count() == 1

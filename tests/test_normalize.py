@@ -126,10 +126,10 @@ def malformed():
         {},
         {"type": "assistant"},
         {"type": "assistant", "message": None},
-        {"type": "assistant", "message": {"id": "odd-9", "usage": "not-an-object"}},
+        {"type": "assistant", "message": {"id": "odd-9", "usage": "oops"}},
         {"type": "assistant", "message": {"id": "odd-8"}},
-        {"type": "user", "toolUseResult": "a string, not an object"},
-        {"type": "user", "message": {"content": "not an array"}},
+        {"type": "user", "toolUseResult": "plain words"},
+        {"type": "user", "message": {"content": "words"}},
         {"type": "system", "compactMetadata": 42},
         {"type": "record-type-of-the-future", "wat": True},
         "[1, 2, 3]",
@@ -159,18 +159,18 @@ def names():
     c = Corpus()
     c.session(
         "nm-ren", reply("nm-1", "nm-u1", "nm-ren"),
-        *[title("custom-title", v, "nm-ren") for v in ("dsl-fork-point", "dsl-fork-point", "march")],
+        *[title("custom-title", v, "nm-ren") for v in ("alpha plan", "alpha plan", "beta plan")],
     )
     c.session(
         "nm-same", reply("nm-2", "nm-u2", "nm-same"),
-        *[title("custom-title", "pencil", "nm-same")] * 2,
+        *[title("custom-title", "sketch", "nm-same")] * 2,
     )
     c.session(
-        "nm-ai", reply("nm-3", "nm-u3", "nm-ai", slug="abstract-aho"), title("ai-title", "Review", "nm-ai")
+        "nm-ai", reply("nm-3", "nm-u3", "nm-ai", slug="green-lamp"), title("ai-title", "Review", "nm-ai")
     )
     c.session(
         "nm-both", reply("nm-4", "nm-u4", "nm-both"),
-        title("ai-title", "Review", "nm-both"), title("custom-title", "pencil", "nm-both"),
+        title("ai-title", "Review", "nm-both"), title("custom-title", "sketch", "nm-both"),
     )
     c.session("nm-agent", reply("nm-5", "nm-u5", "nm-agent"), title("agent-name", "publish", "nm-agent"))
     c.session("nm-slug", reply("nm-6", "nm-u6", "nm-slug", slug="quiet-hop"))
@@ -281,14 +281,14 @@ def compacted():
 
 def agents():
     s = "ag-s1"
-    agent = dict(isSidechain=True, agentId="aexplore-1", attributionAgent="Explore")
+    agent = dict(isSidechain=True, agentId="ascout-7", attributionAgent="Explore")
     return (
         Corpus()
         .session(s, reply("ag-0", "ag-u0", s), created=at("00:00:00"))
         .add(
-            f"{s}/subagents/agent-aexplore-1.jsonl",
+            f"{s}/subagents/agent-ascout-7.jsonl",
             {
-                "type": "fork-context-ref", "agentId": "aexplore-1", "parentSessionId": s,
+                "type": "fork-context-ref", "agentId": "ascout-7", "parentSessionId": s,
                 "parentLastUuid": "ag-u0", "contextLength": 191,
             },
             *[
@@ -297,7 +297,7 @@ def agents():
             ],
         )
         .add(
-            f"{s}/subagents/workflows/wf_abc/agent-a1.jsonl",
+            f"{s}/subagents/workflows/wf_77/agent-a1.jsonl",
             reply("ag-w1", "ag-wu1", s, isSidechain=True, agentId="a1"),
         )
     )
@@ -444,13 +444,13 @@ def test_span_and_active_time(grains):
 
 def test_names(grains):
     s = session(grains, "nm-ren")
-    assert (s["name"], s["nameFirst"], s["nameChanged"]) == ("march", "dsl-fork-point", True)
-    assert s["customTitleFirst"] == "dsl-fork-point"
+    assert (s["name"], s["nameFirst"], s["nameChanged"]) == ("beta plan", "alpha plan", True)
+    assert s["customTitleFirst"] == "alpha plan"
     s = session(grains, "nm-same")
-    assert (s["name"], s["nameChanged"], s["customTitleFirst"]) == ("pencil", False, None)
+    assert (s["name"], s["nameChanged"], s["customTitleFirst"]) == ("sketch", False, None)
     assert session(grains, "nm-ai")["name"] == "Review"
     s = session(grains, "nm-both")
-    assert (s["name"], s["nameKind"], s["aiTitle"]) == ("pencil", "explicit", "Review")
+    assert (s["name"], s["nameKind"], s["aiTitle"]) == ("sketch", "explicit", "Review")
     s = session(grains, "nm-agent")
     assert (s["name"], s["nameKind"]) == ("publish", "explicit")
     s = session(grains, "nm-slug")
@@ -538,14 +538,14 @@ def test_compaction_counts_once(grains):
 
 
 def test_agent_runs(grains):
-    a = only(grains["agentRuns"], agentId="aexplore-1")
+    a = only(grains["agentRuns"], agentId="ascout-7")
     assert (a["agentType"], a["parentSessionId"], a["context"]) == ("Explore", "ag-s1", "subagent")
     assert (a["nTurns"], a["spanSeconds"]) == (3, 180)
     assert (a["inheritedContextLength"], a["parentLastUuid"]) == (191, "ag-u0")
     assert a["cost"] == pytest.approx(3 * (10 * 1e-6 + 100 * 10e-6))
     w = only(grains["agentRuns"], agentId="a1")
-    assert (w["workflowId"], w["context"]) == ("wf_abc", "workflow-agent")
-    assert turn(grains, "ag-w1")["workflowId"] == "wf_abc"
+    assert (w["workflowId"], w["context"]) == ("wf_77", "workflow-agent")
+    assert turn(grains, "ag-w1")["workflowId"] == "wf_77"
     assert session(grains, "ag-s1")["nAgentRuns"] == 2
     assert session(grains, "ag-s1")["nSubagentTurns"] == 4
 

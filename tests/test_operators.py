@@ -265,13 +265,13 @@ def test_strict_variant_access(spark):
 
 
 def test_names_and_labels(spark):
-    ids = ["abar-channel-71b78c98767d31e4", "awhere-is-the-1da17ee1af061e5a", "a18d7d29490a075c2", None]
+    ids = ["anight-owl-00112233445566aa", "amake-it-so-ffeeddccbbaa9988", "a00ff11ee22dd33cc", None]
     df = spark.createDataFrame(list(zip(ids, [None, "fork", None, None])), "id string, type string")
     got = df.select(R.agent_name(F.col("id")), R.agent_name_kind(F.col("id"), F.col("type"))).collect()
-    assert [tuple(r) for r in got] == [("bar-channel", "named"), ("where-is-the", "fork"), (None, "anonymous"), (None, "anonymous")]
-    places = [("x", "/u/src/rfb/.claude/worktrees/a-1"), ("x", "/u/src/helium"), ("-u-src-helium", None), ("-", None)]
+    assert [tuple(r) for r in got] == [("night-owl", "named"), ("make-it-so", "fork"), (None, "anonymous"), (None, "anonymous")]
+    places = [("x", "/u/src/kite/.claude/worktrees/a-1"), ("x", "/u/src/lamp"), ("-u-src-lamp", None), ("-", None)]
     labels = spark.createDataFrame(places, "slug string, cwd string").select(R.project_label(F.col("slug"), F.col("cwd")))
-    assert [r[0] for r in labels.collect()] == ["rfb", "helium", "helium", "-"]
+    assert [r[0] for r in labels.collect()] == ["kite", "lamp", "lamp", "-"]
 
 
 def test_formats(spark):
