@@ -6,6 +6,8 @@ into fixed slices of ``slice_ms`` (default ten minutes). Rows are shuffled once
 (key, slice); what has to cross a slice border (a count, a last timestamp, a running
 maximum) is carried by a per-slice summary whose size per key is bounded by the time
 extent, not by the number of rows. Results are exact for every slice width.
+
+Keys must not be NULL: label unknown ones first. Times may be; such rows come last.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ _SLICE = "_slice"
 
 
 def slice_of(ms: Column | str, slice_ms: int = SLICE_MS) -> Column:
-    return F.floor((F.col(ms) if isinstance(ms, str) else ms) / F.lit(slice_ms))
+    """The slice of a time; rows without a time form one last slice of their own."""
+    at = F.floor((F.col(ms) if isinstance(ms, str) else ms) / F.lit(slice_ms))
+    return F.coalesce(at, F.lit(2**62))
 
 
 def _before(keys: Sequence[str]):

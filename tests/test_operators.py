@@ -117,6 +117,14 @@ def test_slices_never_change_results(spark, width):
         assert (used[s]["k"], used[s]["top"]) == (sum(range(len(ts))), len(ts) - 1)
 
 
+def test_rows_without_a_time_are_kept_last(spark):
+    df = spark.createDataFrame([("s", 5), ("s", None), ("s", 900), ("s", None)], "s string, ms long")
+    seq = ordered.with_sequence(df, ["s"], "ms", (), "i", "n", "prev", 10).orderBy("i").collect()
+    assert [(r["i"], r["ms"], r["n"]) for r in seq] == [(0, 5, 4), (1, 900, 4), (2, None, 4), (3, None, 4)]
+    (used,) = ordered.gap_usage(df, ["s"], "ms", 1_000, slice_ms=10).collect()
+    assert (used["firstMs"], used["lastMs"], used["nTurns"], used["activeMs"]) == (5, 900, 4, 895)
+
+
 def first_fit(spans, gap):
     free, lanes = [], {}
     for id, t0, t1 in sorted(spans, key=lambda s: (s[1], -s[2], s[0])):
