@@ -42,7 +42,7 @@ KEPT_WORDS = 150_000
 _NEVER = 1 << 60
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable character that stands for each byte in vocabulary files: itself where
     it prints, else the next free one from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -54,7 +54,7 @@ class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             stored = json.load(f)
-        letters = _byte_letters()
+        letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
         vocab, merges = stored["model"]["vocab"], stored["model"]["merges"]
         self.to_letters = {b: c for b, c in enumerate(letters)}

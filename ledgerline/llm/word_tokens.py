@@ -14,7 +14,9 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-KEPT_WORDS = 200_000
+from ledgerline.llm.bpe_dp import byte_letters
+
+KEPT_WORDS = 300_000
 _WHOLE = re.compile("[\x1c-\x1fİ]|[^\x00-˿]|<\\|")
 
 
@@ -23,6 +25,7 @@ class WordTokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self._letters = byte_letters()
         self._words: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
@@ -36,6 +39,19 @@ class WordTokens:
             out[i] = token.removesuffix("</w>")[-1:] in (".", "!", "?") and token.endswith("</w>")
         return out
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """A word of letters is one piece, so the library's model gets it without the steps
+        before; other words go through all of them."""
+        letters, tokenize = self._letters, self.library.model.tokenize
+        out = []
+        for w in words:
+            if w.isalpha():
+                piece = "".join([letters[b] for b in w.encode()])
+                out.append(np.array([t.id for t in tokenize(piece)], np.uint32).tobytes())
+            else:
+                out += self._library([w])
+        return out
+
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32).tobytes() for e in found]
@@ -43,23 +59,45 @@ class WordTokens:
     def encode(self, text: str) -> np.ndarray:
         if _WHOLE.search(text):
             return np.frombuffer(self._library([text])[0], np.uint32)
-        words = text.split()
+        # The vocabulary is in lower case, so spellings share an entry.
+        words = text.lower().split()
         have = self._words
-        new = [w for w in set(words) if w not in have]
-        extra = {}
-        if new:
-            older = self._older
-            unknown = [w for w in new if w not in older]
-            extra = dict(zip(unknown, self._library(unknown)))
-            extra.update((w, older[w]) for w in new if w in older)
-            if len(have) + len(extra) > KEPT_WORDS:
-                self._older, self._words = have, {}
-            self._words.update((w, x) for w, x in extra.items() if len(w) <= 64)
-        if extra:
-            parts = [extra[w] if w in extra else have[w] for w in words]
-        else:
-            parts = [have[w] for w in words]
-        return np.frombuffer(b"".join(parts), np.uint32)
+        try:
+            return np.frombuffer(b"".join([have[w] for w in words]), np.uint32)
+        except KeyError:
+            extra = self._learn([w for w in set(words) if w not in have])
+        return np.frombuffer(b"".join([extra[w] if w in extra else have[w] for w in words]), np.uint32)
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of words outside the newer table; they enter it. A word's single closing mark
+        is a piece of its own, so the word before it is looked up alone."""
+        have, older = self._words, self._older
+        extra, unknown, closed = {}, [], []
+        for w in new:
+            if w in older:
+                extra[w] = older[w]
+            elif w[-1] in ".,!?" and w[:-1].isalpha():
+                closed.append(w)
+            else:
+                unknown.append(w)
+        stems = {w[:-1] for w in closed}
+        ends = {w[-1] for w in closed}
+        for part in stems | ends:
+            if part in have:
+                continue
+            if part in older:
+                extra[part] = older[part]
+            elif part not in extra:
+                unknown.append(part)
+        unknown = list(set(unknown))
+        if unknown:
+            extra.update(zip(unknown, self._word_ids(unknown)))
+        if len(have) + len(extra) > KEPT_WORDS:
+            self._older, self._words = have, {}
+        self._words.update((w, x) for w, x in extra.items() if len(w) <= 64)
+        known = lambda w: extra[w] if w in extra else have[w]
+        extra.update((w, known(w[:-1]) + known(w[-1])) for w in closed)
+        return extra
 
 
 _LOADED: dict[str, WordTokens] = {}
