@@ -7,8 +7,9 @@
    sets gives the order) and the first n - ceil(t n) + 1 form its prefix. Sets of
    similarity t share a prefix token, so only groups that share one with a query can hold a
    partner. The matrix has, per prefix token, the groups whose union holds it.
-4. Bound: a partner's group holds at least ceil(t n) of the query's tokens in its union;
-   groups that hold fewer stay closed.
+4. Bound: how many prefix tokens a query shares with a group's union limits the overlap
+   with any member; and a partner's group holds at least ceil(t n) of all the query's
+   tokens in its union. Groups that fall short stay closed.
 5. The members of open groups are compared with the query exactly.
 
 Steps 3 to 5 cover every pair in different groups, so no link that joins components is lost.
@@ -117,7 +118,8 @@ def _cells(tokens: np.ndarray):
 
 
 def _scan(rows: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Per row: id, n, cls; for the first row of a class in its task also keys and prefix."""
+    """Per row: id, n, cls; for the first row of a class in its task also keys, prefix and
+    the place of the prefix's last token in the order."""
     usual = max(1.0, sketch[:SKETCH].mean())
     rare = np.maximum(0, np.floor(np.log2(np.maximum(sketch, 1) / usual))).astype(np.uint64)
     sent = rows.sparkSession.sparkContext.broadcast(rare.astype(np.uint8))  # 2 * SKETCH bytes
@@ -133,15 +135,17 @@ def _scan(rows: DataFrame, sketch: np.ndarray, words: int, percent: int) -> Data
                 own[new] = True
                 keys = np.zeros(size * KEYS, np.int64)
                 prefix = np.zeros(0, np.uint64)
-                kept = np.zeros(size, np.int64)
+                kept, last = np.zeros(size, np.int64), np.zeros(size, np.int64)
                 if len(new):
                     keys = sets.keys()[np.searchsorted(sets.full, new)].ravel()
                     n = sets.sizes[new]
                     tokens = sets.tokens[_ranges(sets.bounds[new], n)]
                     one, two = _cells(tokens)
                     rank = np.minimum(level[one], level[SKETCH + two]).astype(np.uint64)
-                    order = np.lexsort(((rank << np.uint64(58)) | (tokens >> np.uint64(6)), np.repeat(np.arange(len(new)), n)))
+                    place = (rank << np.uint64(58)) | (tokens >> np.uint64(6))
+                    order = np.lexsort((place, np.repeat(np.arange(len(new)), n)))
                     kept[new] = n - least_overlap(n, percent) + 1
+                    last[new] = place[order][np.cumsum(n) - n + kept[new] - 1].astype(np.int64)
                     prefix = tokens[order][_ranges(np.cumsum(n) - n, kept[new])]
                 else:
                     keys = keys[:0]
@@ -152,10 +156,11 @@ def _scan(rows: DataFrame, sketch: np.ndarray, words: int, percent: int) -> Data
                         "cls": pa.array(sets.cls, mask=sets.sizes == 0),
                         "keys": _lists(keys, np.where(own, KEYS, 0)),
                         "prefix": _lists(prefix, kept),
+                        "last": last,
                     }
                 )
 
-    return rows.mapInArrow(run, "id long, n long, cls long, keys array<long>, prefix array<long>")
+    return rows.mapInArrow(run, "id long, n long, cls long, keys array<long>, prefix array<long>, last long")
 
 
 def _pair(cls: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -203,6 +208,30 @@ def _near_sizes(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _promising(postings: DataFrame, unions: DataFrame, percent: int) -> DataFrame:
+    """(q, nq, grp): queries and groups whose prefixes share enough tokens for a partner.
+
+    Of two prefixes, let that of x end first in the order. Tokens common to both sets lie in
+    both prefixes, or in x beyond its prefix: at most shared + least_overlap(x) - 1. That has to
+    reach the overlap of similar sets of these sizes. A group is judged by its union of
+    prefixes and the sizes and ends that occur in it, a slack of one covering rounding."""
+    matches = (
+        postings.alias("q").join(unions.alias("u"), "token").where("q.grp > u.grp")
+        .where(f"100 * q.n >= {percent} * u.least and 100 * u.most >= {percent} * q.n")
+        .select("q.cls", "q.n", "q.last", "u.grp", "u.least", "u.most", "u.lo", "u.hi")
+    )
+    counted = matches.groupBy("cls", "n", "last", "grp").agg(
+        F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"),
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+    )
+    small = f"greatest(least, ceil(n * {percent} / 100))"
+    large = f"least(most, floor(n * 100 / {percent}))"
+    if_q_ends = f"ceil({percent} * (n + {small}) / {100 + percent}) - ceil(n * {percent} / 100)"
+    if_group_ends = f"ceil({percent} * (n + {large}) / {100 + percent}) - ceil({large} * {percent} / 100)"
+    enough = f"(last <= hi and shared >= {if_q_ends}) or (last >= lo and shared >= {if_group_ends})"
+    return counted.where(enough).select(F.col("cls").alias("q"), F.col("n").alias("nq"), "grp")
+
+
 def _needed(classes: DataFrame, *columns: DataFrame) -> DataFrame:
     """(cls, id) of the classes named by any of the one-column tables."""
     names = columns[0].toDF("cls")
@@ -248,12 +277,12 @@ def join(
 
     # Tokens of prefixes that several groups hold, and the queries and groups that share them.
     grouped = (
-        scan.where(F.size("prefix") > 0).select("cls", "n", "prefix")
+        scan.where(F.size("prefix") > 0).select("cls", "n", "last", "prefix")
         .join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left")
-        .select("cls", "n", F.coalesce("root", "cls").alias("grp"), "prefix")
+        .select("cls", "n", "last", F.coalesce("root", "cls").alias("grp"), "prefix")
     )
     prefixes = stored(grouped, "prefixes")
-    tokens = prefixes.select(F.explode("prefix").alias("token"), "cls", "n", "grp")
+    tokens = prefixes.select(F.explode("prefix").alias("token"), "grp")
     open_tokens = stored(
         tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token"),
         "open-tokens",
@@ -264,27 +293,24 @@ def join(
     def shared(batches):
         bloom = Bloom(TOKEN_BITS, sent.value)
         for batch in batches:
-            lists = batch.column(3)
+            lists = batch.column(4)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
             hit = np.flatnonzero(bloom.has(flat))
             at = pa.array(row[hit])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[hit]), *[batch.column(i).take(at) for i in range(3)]], names=["token", "cls", "n", "grp"]
+                [pa.array(flat[hit]), *[batch.column(i).take(at) for i in range(4)]],
+                names=["token", "cls", "n", "last", "grp"],
             )
 
     postings = stored(
-        prefixes.mapInArrow(shared, "token long, cls long, n long, grp long").join(open_tokens, "token").distinct(),
+        prefixes.mapInArrow(shared, "token long, cls long, n long, last long, grp long").join(open_tokens, "token").distinct(),
         "postings",
     )
-    unions = postings.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    candidates = stored(
-        postings.alias("q").join(unions.alias("u"), "token")
-        .where("q.grp > u.grp")
-        .where(f"100 * q.n >= {percent} * u.least and 100 * u.most >= {percent} * q.n")
-        .select(F.col("q.cls").alias("q"), F.col("q.n").alias("nq"), F.col("u.grp").alias("grp")).distinct(),
-        "candidates",
-    )
+    unions = postings.groupBy("token", "grp").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("last").alias("lo"), F.max("last").alias("hi")
+    )
+    candidates = stored(_promising(postings, unions, percent), "candidates")
     group_of = (
         classes.join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left")
         .select("cls", "n", F.coalesce("root", "cls").alias("grp"))
