@@ -15,9 +15,6 @@ RATES = ("input", "output", "cacheCreate5m", "cacheCreate1h", "cacheRead")
 # Provider prefixes tried, in this order, after the plain model name.
 PROVIDER_PREFIXES = ("anthropic/", "anthropic.", "us.anthropic.", "global.anthropic.")
 
-# A side is only broadcast when it has been counted and has no more rows than this.
-BROADCAST_ROWS = 20_000
-
 
 @dataclass(frozen=True)
 class PriceTable:
@@ -27,11 +24,6 @@ class PriceTable:
     version: str
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a side for broadcast after counting it (the count stops at the limit)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def dedup_billed(
     records: DataFrame,
     keys: Sequence[str],

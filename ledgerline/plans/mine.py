@@ -49,7 +49,7 @@ def mine(
         idle_seconds,
         host,
     )
-    found = [r["problem"] for r in quality.problems(result).limit(100).collect()]
+    found = quality.store_problems(result, sinks.share_folder(f"{out}/problems", username, host))
     source = {
         "roots": existing_roots(spark, roots),
         "pricing": price_version,
@@ -60,7 +60,7 @@ def mine(
         raise quality.InvariantError("; ".join(found))
     sinks.export_corpus(result.grains, out, username, host, months)
     if replay:
-        sinks.write_replay(replay_rows(lines), out)
+        sinks.write_replay(replay_rows(lines), out, username, host)
     sizes = sinks.write_index(spark, out, source["generatedAt"], {host: host})
     sinks.write_manifest(spark, out, source, result.grains, result.stats, found, sizes)
     return result
@@ -81,15 +81,15 @@ def main(argv: list[str] | None = None) -> int:
     args = cli.parse_args(argv)
     spark = SparkSession.builder.appName("ledgerline-mine").getOrCreate()
     try:
-        result = mine(
+        mine(
             spark, args.root, args.prices, args.price_version, args.out, args.username, args.host,
             args.months, args.replay, args.idle_seconds, args.created,
-        )
+        ).stats.show(vertical=True, truncate=False)
     except quality.InvariantError as e:
         print(f"invariants violated: {e}", file=sys.stderr)
         return 1
-    result.stats.show(vertical=True, truncate=False)
-    release(spark)
+    finally:
+        release(spark)
     return 0
 
 

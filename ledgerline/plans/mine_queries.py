@@ -286,7 +286,7 @@ def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT 'agents', 'agent runs hold ' || CAST(count(*) AS VARCHAR) || ' turns of ' || CAST(2 * count(*) AS VARCHAR)
     FROM turns WHERE "agentId" IS NOT NULL HAVING count(*) > 0
     UNION ALL
-    SELECT 'lineage', "sessionId" || ' has no parent but depth 3 in ' || "sessionId"
+    SELECT 'lineage', 'root-misplaced session=' || "sessionId" || ' depth=3 lineage=' || "sessionId"
     FROM (SELECT DISTINCT s AS "sessionId" FROM rec WHERE kind <> 'error' UNION SELECT "sessionId" FROM turns)
     WHERE "sessionId" LIKE '%7'""",
 )

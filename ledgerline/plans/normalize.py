@@ -17,7 +17,7 @@ from ledgerline.functions import images as I
 from ledgerline.functions import variant as V
 from ledgerline.functions.time import ts_of
 from ledgerline.operators import billing, lineage, naming
-from ledgerline.operators.billing import PriceTable, broadcast_if_small
+from ledgerline.operators.billing import PriceTable
 from ledgerline.operators.ordered import gap_usage
 from ledgerline.schemas import conform
 from ledgerline.sources.scratch import materialize
@@ -163,9 +163,7 @@ def _structure(facts: DataFrame, images: DataFrame) -> DataFrame:
 def _costs(winners: DataFrame, facts: DataFrame, prices: PriceTable) -> DataFrame:
     """Tokens and cost per response: every unit at its own model's rates, summed."""
     models = _billed(facts).select(F.explode("units.model").alias("model"))
-    rates = broadcast_if_small(
-        materialize(billing.resolve_models(models, prices.entries), "rates")
-    )
+    rates = materialize(billing.resolve_models(models, prices.entries), "rates")
     units = winners.select(*KEY, F.inline("units"))
     priced = units.join(rates, "model", "left").withColumns(
         billing.price_columns(

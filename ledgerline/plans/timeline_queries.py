@@ -170,7 +170,7 @@ BLOCKS_SQL = """
                   WHEN role = 'user' AND conv_id % 5 = 0 THEN 'x' || CAST(turn AS VARCHAR)
                   WHEN role = 'user' THEN 't' || CAST(turn AS VARCHAR)
                   ELSE 't' || CAST(turn - 1 AS VARCHAR) END AS id,
-             substr(text, 1, 80) AS text, length(text) > 80 AS truncated, length(text) AS full_chars,
+             text, false AS truncated, length(text) AS full_chars,
              CASE WHEN role = 'assistant' THEN length(text) % 3 <> 0 END AS ok,
              CASE WHEN role = 'assistant' AND length(text) % 4 = 0 THEN CAST(1 AS BIGINT) END AS code,
              CASE WHEN turn % 3 = 0 THEN NULL ELSE 'a' || CAST(turn % 3 AS VARCHAR) END AS agent
@@ -207,7 +207,7 @@ def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(role == "user", F.concat(F.lit("t"), turn.cast("string")))
         .otherwise(F.concat(F.lit("t"), (turn - 1).cast("string")))
         .alias("toolUseId"),
-        replay.cut(F.col("text"), 80).alias("cut"),
+        replay.cut(F.col("text"), None).alias("cut"),
         F.when(role == "assistant", size % 3 != 0).alias("ok"),
         F.lit(None).cast("string").alias("errorKind"),
         F.when((role == "assistant") & (size % 4 == 0), F.lit(1).cast("long")).alias("exitCode"),
@@ -271,11 +271,11 @@ def truncate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "names_first_last",
     """WITH s AS (
-      SELECT conv_id, count(DISTINCT substr(text, 1, 12)) FILTER (role = 'user') AS nu,
-             arg_max(substr(text, 1, 12), turn) FILTER (role = 'user') AS e1,
-             arg_min(substr(text, 1, 12), turn) FILTER (role = 'user') AS e0,
-             arg_max(substr(text, 1, 20), turn) FILTER (role = 'assistant') AS a1,
-             arg_min(substr(text, 1, 20), turn) FILTER (role = 'assistant') AS a0
+      SELECT conv_id, count(DISTINCT text) FILTER (role = 'user') AS nu,
+             arg_max(text, turn) FILTER (role = 'user') AS e1,
+             arg_min(text, turn) FILTER (role = 'user') AS e0,
+             arg_max(text, turn) FILTER (role = 'assistant') AS a1,
+             arg_min(text, turn) FILTER (role = 'assistant') AS a0
       FROM conversations GROUP BY 1),
     n AS (SELECT CAST(conv_id AS VARCHAR) AS "sessionId", CASE WHEN conv_id % 2 = 0 THEN e1 END AS e1,
                  CASE WHEN conv_id % 2 = 0 THEN e0 END AS e0, a1, a0 FROM s)
@@ -292,8 +292,8 @@ def names_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.col("conv_id") % 2 == 0
     records = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("sessionId"),
-        F.when((F.col("role") == "user") & even, F.substring("text", 1, 12)).alias("explicit"),
-        F.when(F.col("role") == "assistant", F.substring("text", 1, 20)).alias("ai"),
+        F.when((F.col("role") == "user") & even, F.col("text")).alias("explicit"),
+        F.when(F.col("role") == "assistant", F.col("text")).alias("ai"),
         F.lit(None).cast("string").alias("slug"),
         F.col("turn").alias("ord"),
     )

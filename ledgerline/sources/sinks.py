@@ -14,24 +14,23 @@ from ledgerline.functions.time import month_of, ms_of
 from ledgerline.schemas import GRAINS, Grain, conform
 from ledgerline.sources.paths import holds_parquet, path_exists
 
-LAYOUT = "<grain>/username=<u>/host=<hostId>[/month=<YYYY-MM>]/*.parquet"
+SHARE_KEYS = ("username", "host")
+LAYOUT = "/".join(["{grain}", *(f"{k}={{{k}}}" for k in SHARE_KEYS), "month={month} where the grain has a time", "part files"])
 REPLAY_BUCKETS = 256
-_SAFE_KEY = r"^[A-Za-z0-9._@-]+$"
+# A key is one path segment: letters, digits and . _ @ - with something that is not a dot.
+_KEY = r"^[A-Za-z0-9._@-]*[A-Za-z0-9_@-][A-Za-z0-9._@-]*$"
 
 
 def assert_key_safe(kind: str, value: str) -> None:
-    """Partition values become path segments: letters, digits and . _ @ - only, and no
-    segment made of dots or holding a bare '..'."""
-    dotted = re.search(r"(?:^|[^A-Za-z0-9_@-])\.\.(?![A-Za-z0-9_@-])", value)
-    if not re.fullmatch(_SAFE_KEY[1:-1], value) or dotted or not value.strip("."):
+    """Fail on a value that cannot be one path segment."""
+    if not re.fullmatch(_KEY[1:-1], value):
         raise ValueError(f"{kind} {value!r} is not safe as a partition key")
 
 
 def checked_key(column: str) -> Column:
     """The same rule for values that come from data: the job fails on an unsafe one."""
     value = F.col(column)
-    fine = value.rlike(_SAFE_KEY) & ~value.rlike(r"^\.+$")
-    return F.when(fine, value).otherwise(
+    return F.when(value.rlike(_KEY), value).otherwise(
         F.raise_error(F.concat(F.lit(f"unsafe partition key in {column}: "), F.coalesce(value, F.lit("null"))))
     )
 
@@ -50,15 +49,11 @@ def recent_months(df: DataFrame, time_column: str, months: int | None) -> DataFr
     return df.where(F.col(time_column) >= newest - F.make_ym_interval(F.lit(0), F.lit(int(months))))
 
 
-def partitioned(df: DataFrame, grain: Grain, username: str, host: str) -> tuple[DataFrame, list[str]]:
-    """Add the partition columns, which live in the path only."""
+def share_folder(folder: str, username: str, host: str) -> str:
+    """The folder that holds what one user mined on one host; its names are partition values."""
     assert_key_safe("username", username)
     assert_key_safe("host", host)
-    out = df.withColumns({"username": F.lit(username), "host": F.lit(host)})
-    keys = ["username", "host"]
-    if grain.by_month:
-        out, keys = out.withColumn("month", month_of(grain.time_column)), [*keys, "month"]
-    return out, keys
+    return f"{folder}/username={username}/host={host}"
 
 
 def export_grain(
@@ -69,21 +64,24 @@ def export_grain(
     host: str,
     months: int | None = None,
 ) -> None:
-    """Write one grain into the partitioned corpus, replacing the partitions it touches.
+    """Write one grain into the partitioned corpus, replacing all of the user's share on this
+    host: months that went away, or a grain that became empty, leave no old rows.
 
     Rebalancing gives files of the advisory size: small months share nothing and become
     one file, a large month is split. Sorting by time inside files lets readers skip row
     groups. ``prefix`` may be any Hadoop path, an object store included.
     """
-    out, keys = partitioned(recent_months(df, grain.time_column, months), grain, username, host)
+    out, keys = recent_months(df, grain.time_column, months), []
+    if grain.by_month:
+        out, keys = out.withColumn("month", month_of(grain.time_column)), ["month"]
     balanced = out.hint("rebalance", *[F.col(k) for k in keys])
     (
         balanced.sortWithinPartitions(*keys, grain.time_column)
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static")
         .option("compression", "zstd")
         .partitionBy(*keys)
-        .parquet(f"{prefix}/{grain.name}")
+        .parquet(share_folder(f"{prefix}/{grain.name}", username, host))
     )
 
 
@@ -114,18 +112,19 @@ def staged_grains(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame
 
 
 def replay_bucket(session: Column) -> Column:
+    """Folder of a session; a session without an id has one too."""
     return F.format_string("%02x", F.pmod(F.xxhash64(session), F.lit(REPLAY_BUCKETS)))
 
 
-def write_replay(rows: DataFrame, prefix: str) -> DataFrame:
-    """Write the replay grain so that one session is found without a folder per session.
+def write_replay(rows: DataFrame, prefix: str, username: str, host: str) -> DataFrame:
+    """Write the replay grain so that one session is found without a folder per session. Only
+    the user's share on this host is replaced; other hosts' replays stay.
 
     Sessions hash into a fixed number of folders and lie sorted inside them, so reading
     one session prunes to a folder and then to the row groups that hold it. Range
     partitioning splits a session of any size over several files. Returns the index.
     """
-    safe = rows.where(F.col("sessionId").rlike(r"^[\w.-]+$"))
-    placed = safe.withColumn("bucket", replay_bucket(F.col("sessionId")))
+    placed = rows.withColumn("bucket", replay_bucket(F.col("sessionId")))
     (
         placed.repartitionByRange("bucket", "sessionId", "seq")
         .sortWithinPartitions("bucket", "sessionId", "seq")
@@ -133,10 +132,10 @@ def write_replay(rows: DataFrame, prefix: str) -> DataFrame:
         .option("partitionOverwriteMode", "static")
         .option("compression", "zstd")
         .partitionBy("bucket")
-        .parquet(f"{prefix}/replay")
+        .parquet(share_folder(f"{prefix}/replay", username, host))
     )
-    index = replay_index(safe)
-    index.write.mode("overwrite").json(f"{prefix}/replay-index")
+    index = replay_index(rows)
+    index.write.mode("overwrite").json(share_folder(f"{prefix}/replay-index", username, host))
     return index
 
 

@@ -7,6 +7,8 @@ import pytest
 from corpus import PRICES, copied, plain, reply
 from pyspark.sql import functions as F
 
+from ledgerline.schemas import GRAINS, conform
+from ledgerline.sources.paths import holds_parquet
 from ledgerline.operators import replay
 from ledgerline.plans.mine import mine
 from ledgerline.schemas import GRAINS, SCHEMAS
@@ -229,15 +231,36 @@ def test_replay(spark, mined):
     assert (len(answer["text"]), answer["truncated"], answer["fullChars"]) == (800, True, 908)
     assert (answer["ok"], answer["errorKind"], answer["exitCode"]) == (False, "boom", 2)
     assert odd["text"] == '{"type":"odd","x":1}' and odd["agentId"] == "ab-0123456789abcdef"
-    assert mark["text"] == "auto: 9 → 4 tokens"
+    assert mark["text"] == "compaction auto, before=9, after=4"
     assert text["text"] == "done"
     # A fork replays its inherited prefix as its own.
     assert corpus.read_replay(spark, mined["out"], S2).count() == 4
 
     plan = corpus.read_replay(spark, mined["out"], S1)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(sessionId)" in plan
-    with pytest.raises(ValueError):
-        corpus.read_replay(spark, mined["out"], "../etc")
+    assert corpus.read_replay(spark, mined["out"], "../etc").count() == 0
     assert corpus.read_replay(spark, mined["base"], S1) is None
     index = {r["sessionId"]: r for r in spark.read.json(f"{mined['out']}/replay-index").collect()}
     assert index[S1]["rows"] == 7 and index[S1]["t0"] < index[S1]["t1"]
+
+
+def test_hosts_share_a_corpus(spark, mined, tmp_path):
+    rows = corpus.read_replay(spark, mined["out"], S1).drop("bucket")
+    out = f"file://{tmp_path}/shared"
+    sinks.write_replay(rows, out, "u", "one")
+    other = rows.withColumn("sessionId", F.lit(None).cast("string"))
+    sinks.write_replay(other, out, "u", "two")
+    sinks.write_replay(other, out, "u", "two")
+    assert spark.read.parquet(f"{out}/replay").groupBy("host").count().collect() and {
+        r["host"]: r["count"] for r in spark.read.parquet(f"{out}/replay").groupBy("host").count().collect()
+    } == {"one": 7, "two": 7}
+
+
+def test_an_emptied_grain_keeps_no_rows(spark, mined, tmp_path):
+    grain = next(g for g in GRAINS if g.name == "turns")
+    out = f"file://{tmp_path}/emptied"
+    rows = conform(spark.read.parquet(f"{mined['out']}/turns"), "turns")
+    sinks.export_grain(rows, grain, out, "u", "h")
+    assert holds_parquet(spark, f"{out}/turns")
+    sinks.export_grain(rows.where(F.lit(False)), grain, out, "u", "h")
+    assert not holds_parquet(spark, f"{out}/turns")

@@ -297,6 +297,10 @@ def test_formats(spark):
 def test_image_headers(spark):
     assert I._frame_size(b"\x00\x01\x02") == (None, None)
     assert I._frame_size(b"\xff\xd8\xff") == (None, None)
+    metadata = b"\xff\xe1\xff\xff" + bytes(0xFFFD)
+    frame = b"\xff\xff\xc9\x00\x0b\x08" + (480).to_bytes(2, "big") + (640).to_bytes(2, "big") + bytes(4)
+    assert I._frame_size(b"\xff\xd8" + 3 * metadata + frame) == (640, 480)
+    assert I._frame_size(b"\xff\xd8" + b"\xff\xc4\x00\x04\x01\x02" + b"\xff\xda\x00\x02") == (None, None)
     assert spark.range(1).select(I.png_dims(F.lit(b"\x01\x02\x03"))).collect()[0][0] is None
 
 
