@@ -12,7 +12,8 @@
    tokens in its union. Groups that fall short stay closed.
 5. The members of open groups are compared with the query exactly.
 
-Steps 3 to 5 cover every pair in different groups, so no link that joins components is lost.
+Between 3 and 4, ROUNDS times, each class is compared with the one class of another group
+that it shares most with, which joins the groups of loose families. Steps 3 to 5 cover every pair in different groups, so no link that joins components is lost.
 Copies cost one row each, a group of near copies one comparison per member and key; no step
 emits the pairs within a group. The sketch and the filters have fixed sizes; what they let
 through is settled by exact joins.
@@ -40,6 +41,7 @@ from ledgerline.llm.textscan import Texts, mix
 
 KEYS = 4
 SHARED_KEYS = 2
+ROUNDS = 2
 SKETCH = 1 << 19  # counters in each of two rows
 TOKEN_BITS, CLASS_BITS = 25, 25
 
@@ -208,6 +210,23 @@ def _near_sizes(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _best_tries(postings: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): per class at most one class of another group. Every token names one class at
+    random, the same for all who hold it; b is the one named by most of a's tokens."""
+    named = F.struct(
+        F.xxhash64("grp", F.lit(turn)).alias("h"), "grp", F.xxhash64("cls", F.lit(turn)).alias("hc"), "cls", "n"
+    )
+    heads = postings.groupBy("token").agg(F.min(named).alias("x"))
+    overlap = f"ceil({percent} * (n + nb) / {100 + percent})"
+    return (
+        postings.join(heads, "token").where("grp <> x.grp")
+        .groupBy("cls", "n", F.col("x.cls").alias("b"), F.col("x.n").alias("nb")).agg(F.count("*").alias("shared"))
+        .where(_near_sizes("n", "nb", percent))
+        .where(f"shared >= {overlap} - ceil(greatest(n, nb) * {percent} / 100)")
+        .groupBy(F.col("cls").alias("a")).agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+    )
+
+
 def _promising(postings: DataFrame, unions: DataFrame, percent: int) -> DataFrame:
     """(q, nq, grp): queries and groups whose prefixes share enough tokens for a partner.
 
@@ -228,7 +247,11 @@ def _promising(postings: DataFrame, unions: DataFrame, percent: int) -> DataFram
     large = f"least(most, floor(n * 100 / {percent}))"
     if_q_ends = f"ceil({percent} * (n + {small}) / {100 + percent}) - ceil(n * {percent} / 100)"
     if_group_ends = f"ceil({percent} * (n + {large}) / {100 + percent}) - ceil({large} * {percent} / 100)"
-    enough = f"(last <= hi and shared >= {if_q_ends}) or (last >= lo and shared >= {if_group_ends})"
+    exact = "if(least = most, 1, 0)"  # one size: nothing to round over
+    enough = (
+        f"(last <= hi and shared >= {exact} + {if_q_ends}) or (last > lo and shared >= {exact} + {if_group_ends})"
+        f" or (last = lo and shared >= {if_group_ends})"
+    )
     return counted.where(enough).select(F.col("cls").alias("q"), F.col("n").alias("nq"), "grp")
 
 
@@ -307,6 +330,23 @@ def join(
         prefixes.mapInArrow(shared, "token long, cls long, n long, last long, grp long").join(open_tokens, "token").distinct(),
         "postings",
     )
+    # Before whole groups are met, each class tries the class it shares most with among one
+    # of another group per token; what is found joins groups, so that few pairs are left.
+    links = star_links
+    for turn in range(ROUNDS):
+        tries = stored(_best_tries(postings, turn, percent), "tries")
+        found = stored(
+            _linked(tries, _fetch(rows, _needed(classes, tries.select("a"), tries.select("b")), words), percent), "tried"
+        )
+        if not found.limit(1).count():
+            break
+        links = links.union(found)
+        groups = components(links)
+        postings = stored(
+            postings.drop("grp").join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left")
+            .select("token", "cls", "n", "last", F.coalesce("root", "cls").alias("grp")),
+            "postings",
+        )
     unions = postings.groupBy("token", "grp").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.min("last").alias("lo"), F.max("last").alias("hi")
     )
@@ -346,7 +386,7 @@ def join(
         .select(F.col("q").alias("a"), "b")
     )
     more_links = _linked(to_compare, sets, percent)
-    roots = components(star_links.union(more_links))
+    roots = components(links.union(more_links))
 
     found = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "cls", F.coalesce("root", "cls").alias("root")

@@ -2,7 +2,8 @@
 
 A line (split at newlines) with a word fails when one of these holds:
 
-- markup: at least half as many of the characters # * $ % & | < > { } as words;
+- markup: at least half as many of the characters # * $ % & | < > { } as words that are
+  not made of them alone;
 - punctuation: no closing punctuation at its end and fewer than five words, or at least
   half as many exclamation marks as words and more than two;
 - boilerplate: it holds one of the phrases of BOILERPLATE, in any letter case.
@@ -55,9 +56,11 @@ MAX_LOST = 0.5
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)), re.IGNORECASE | re.ASCII)
 _MARKUP = re.compile("[" + re.escape(MARKUP) + "]")
+_ONLY_MARKUP = re.compile("[" + re.escape(MARKUP) + "]+")
 
 
-def line_passes(line: str, words: int) -> bool:
+def line_passes(line: str, found: list[str]) -> bool:
+    words = sum(1 for w in found if not _ONLY_MARKUP.fullmatch(w))
     if 2 * len(_MARKUP.findall(line)) >= words:
         return False
     end = line.rstrip("\x20\x09\x0a\x0b\x0c\x0d")[-1:]
@@ -77,7 +80,7 @@ def clean(text: str) -> tuple[str, int]:
         words = _WORDS.findall(line)
         if not words:
             kept.append(line)
-        elif line_passes(line, len(words)):
+        elif line_passes(line, words):
             kept.append(line)
             chars += sum(map(len, words))
     return "\n".join(kept), chars
