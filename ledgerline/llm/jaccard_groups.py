@@ -2,21 +2,26 @@
 
 1. Equal sets form one class; all further work is on classes.
 2. Grouping: classes that share two of four min-hashes with the smallest class that has
-   them are compared with it; links found join classes into groups.
+   them form groups with it. Then, ROUNDS times, each class is compared with the one class
+   of another group that it shares most with; if they are at least LOOSE percent alike,
+   their groups become one. Any partition gives the same links; a good one gives them sooner.
 3. Token-group matrix: a set's tokens are ordered rarest first (a count sketch over all
    sets gives the order) and the first n - ceil(t n) + 1 form its prefix. Sets of
    similarity t share a prefix token, so only groups that share one with a query can hold a
    partner. The matrix has, per prefix token, the groups whose union holds it.
 4. Bound: how many prefix tokens a query shares with a group's union limits the overlap
-   with any member; and a partner's group holds at least ceil(t n) of all the query's
-   tokens in its union. Groups that fall short stay closed.
-5. The members of open groups are compared with the query exactly.
-
-Between 3 and 4, ROUNDS times, each class is compared with the one class of another group
-that it shares most with, which joins the groups of loose families. Steps 3 to 5 cover every pair in different groups, so no link that joins components is lost.
-Copies cost one row each, a group of near copies one comparison per member and key; no step
-emits the pairs within a group. The sketch and the filters have fixed sizes; what they let
-through is settled by exact joins.
+   with any member. A query that may reach the overlap needed opens the group and visits
+   it; groups without visitors and with one member stay closed.
+5. Inside an open group, members and visitors are written as differences from the group's
+   core, the tokens that most of (a sample of) its members hold. The distance of two sets is
+   that of their differences, so two sets near the core are linked without being compared,
+   and others are linked only by tokens that both differences hold: those are counted,
+   unless the tokens a set shares with any other of the group are too few for that.
+
+Steps 3 to 5 cover every pair in different groups and step 5 every pair in one, so no link
+that joins components is lost. Copies cost one row each, and texts near a core one link; no
+step emits the pairs within a group. The sketch and the filters have fixed sizes; what they
+let through is settled by exact joins.
 
 Sets are compared by 64-bit hashes of their shingles, classes by a 64-bit hash of the set.
 
@@ -42,6 +47,8 @@ from ledgerline.llm.textscan import Texts, mix
 KEYS = 4
 SHARED_KEYS = 2
 ROUNDS = 2
+LOOSE = 60  # percent; groups of texts this much alike become one
+CORE_MEMBERS = 15  # members, on average, that a large group's core is taken from
 SKETCH = 1 << 19  # counters in each of two rows
 TOKEN_BITS, CLASS_BITS = 25, 25
 
@@ -263,6 +270,68 @@ def _needed(classes: DataFrame, *columns: DataFrame) -> DataFrame:
     return names.distinct().join(classes.select("cls", "id"), "cls")
 
 
+def _core(sample: pa.Table) -> pa.Table:
+    """The tokens that more than half of a group's sampled members hold."""
+    lists = sample.column("tokens").combine_chunks()
+    tokens, held = np.unique(lists.flatten().to_numpy(), return_counts=True)
+    most = tokens[2 * held > len(lists)]
+    return pa.table({"grp": sample.column("grp").slice(0, 1), "core": _lists(most, np.array([len(most)]))})
+
+
+def _differences(present: DataFrame, sets: DataFrame) -> DataFrame:
+    """(grp, cls, n, diff) for present(grp, cls, n, own): the tokens in which a set differs
+    from the core of the group it is present in."""
+    sizes = present.where("own").groupBy("grp").agg(F.count("*").alias("held"))
+    sample = (
+        present.where("own").join(sizes, "grp").where(F.pmod(F.xxhash64("cls"), "held") < CORE_MEMBERS)
+        .select("cls", "grp").join(sets, "cls").select("grp", "tokens")
+    )
+    cores = sample.groupBy("grp").applyInArrow(_core, "grp long, core array<long>")
+    core = F.coalesce("core", F.array().cast("array<long>"))  # none sampled: compared as they are
+    return (
+        present.join(sets, "cls").join(cores, "grp", "left")
+        .select("grp", "cls", "n", F.concat(F.array_except("tokens", core), F.array_except(core, "tokens")).alias("diff"))
+    )
+
+
+def _links_within(present: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join all that are linked among those present in a group.
+
+    With d the size of a set's difference from the core, n its own size and s the tokens two
+    differences share, sets are similar when far(x) + far(y) <= 2 unit s, where
+    unit = 100 + percent and far = unit d - (100 - percent) n. The nearest to the core is
+    thus linked with all of far <= -far(nearest), and no others are linked without shared
+    tokens. A set cannot share more than the tokens (held) some other difference has too,
+    which limits the far of its partners to reach = 2 unit held - far."""
+    unit = 100 + percent
+    diffs = stored(_differences(present, sets), "differences")
+    tokens = diffs.select("grp", "cls", F.explode("diff").alias("token"))
+    common = tokens.groupBy("grp", "token").agg(F.count("*").alias("held")).where("held > 1").select("grp", "token")
+    met = stored(tokens.join(common, ["grp", "token"]), "differing")
+    far = (F.size("diff") * unit - F.col("n") * (100 - percent)).alias("far")
+    held = met.groupBy("grp", "cls").agg(F.count("*").alias("held"))
+    placed = diffs.select("grp", "cls", far).join(held, ["grp", "cls"], "left").select(
+        "grp", "cls", "far", (2 * unit * F.coalesce("held", F.lit(0)) - F.col("far")).alias("reach")
+    )
+    centres = placed.groupBy("grp").agg(
+        F.min(F.struct("far", "cls")).alias("c"), F.max("reach").alias("furthest")
+    ).select("grp", F.col("c.cls").alias("centre"), F.col("c.far").alias("nearest"), "furthest")
+    placed = stored(placed.join(centres, "grp"), "placed")
+    near = placed.where("far + nearest <= 0 and cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b"))
+    facts = placed.select("grp", "cls", "far", "reach", (F.col("far") + F.col("nearest") > 0).alias("outside"))
+    partners = facts.where("reach > -far")
+    outside = placed.where("far + nearest > 0 and far <= furthest and reach > -far").select("grp", "cls", "far", "reach")
+    x, y = outside.join(met, ["grp", "cls"]), partners.join(met, ["grp", "cls"])
+    counted = (
+        x.alias("x").join(y.alias("y"), ["grp", "token"])
+        .where("x.cls <> y.cls and (not y.outside or x.cls < y.cls) and y.far <= x.reach and x.far <= y.reach")
+        .groupBy("grp", F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+        .agg(F.count("*").alias("s"), (F.first("x.far") + F.first("y.far")).alias("apart"))
+        .where(F.col("apart") <= 2 * unit * F.col("s"))
+    )
+    return near.union(counted.select("a", "b"))
+
+
 def join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -293,10 +362,8 @@ def join(
         .where(F.col("shared") >= SHARED_KEYS)
         .join(low_sizes, "b").where(_near_sizes("na", "nb", percent))
     )
-    stars = stored(stars.select("a", "b"), "stars")
-    sets = _fetch(rows, _needed(classes, stars.select("a"), stars.select("b")), words)
-    star_links = stored(_linked(stars, sets, percent), "star-links")
-    groups = components(star_links)
+    alike = stored(stars.select("a", "b"), "stars")
+    groups = components(alike)
 
     # Tokens of prefixes that several groups hold, and the queries and groups that share them.
     grouped = (
@@ -330,18 +397,16 @@ def join(
         prefixes.mapInArrow(shared, "token long, cls long, n long, last long, grp long").join(open_tokens, "token").distinct(),
         "postings",
     )
-    # Before whole groups are met, each class tries the class it shares most with among one
-    # of another group per token; what is found joins groups, so that few pairs are left.
-    links = star_links
+    # Groups of loose families become one before queries meet groups.
     for turn in range(ROUNDS):
         tries = stored(_best_tries(postings, turn, percent), "tries")
         found = stored(
-            _linked(tries, _fetch(rows, _needed(classes, tries.select("a"), tries.select("b")), words), percent), "tried"
+            _linked(tries, _fetch(rows, _needed(classes, tries.select("a"), tries.select("b")), words), LOOSE), "tried"
         )
         if not found.limit(1).count():
             break
-        links = links.union(found)
-        groups = components(links)
+        alike = alike.union(found)
+        groups = components(alike)
         postings = stored(
             postings.drop("grp").join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left")
             .select("token", "cls", "n", "last", F.coalesce("root", "cls").alias("grp")),
@@ -355,38 +420,15 @@ def join(
         classes.join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left")
         .select("cls", "n", F.coalesce("root", "cls").alias("grp"))
     )
-    wanted = candidates.select("grp").distinct()
-    holders = stored(group_of.join(wanted, "grp", "left_semi"), "holders")
+    visits = candidates.select("grp", F.col("q").alias("cls"), F.col("nq").alias("n"), F.lit(False).alias("own"))
+    everyone = group_of.select("grp", "cls", "n", F.lit(True).alias("own")).union(visits)
+    opened = everyone.groupBy("grp").agg(F.count("*").alias("there")).where("there > 1").select("grp")
+    present = stored(everyone.join(opened, "grp", "left_semi"), "present")
     sets = stored(
-        _fetch(rows, _needed(classes, candidates.select("q"), holders.select("cls")), words)
-        .join(classes.select("cls"), "cls", "left_semi"),
+        _fetch(rows, _needed(classes, present.select("cls")), words).groupBy("cls").agg(F.first("tokens").alias("tokens")),
         "sets",
-    )
-
-    # Bound: a group of several stays closed unless its union holds enough of the query.
-    sizes = holders.groupBy("grp").agg(F.count("*").alias("held"))
-    sized = candidates.join(sizes, "grp")
-    several = sized.where("held > 1")
-    matrix = (
-        sets.join(holders.join(sizes.where("held > 1"), "grp", "left_semi"), "cls")
-        .select("grp", F.explode("tokens").alias("token")).distinct()
-    )
-    asked = several.select("q", "nq", "grp").join(sets.withColumnRenamed("cls", "q"), "q").select(
-        "q", "nq", "grp", F.explode(F.array_distinct("tokens")).alias("token")
     )
-    opened = (
-        asked.distinct().join(matrix, ["grp", "token"]).groupBy("q", "nq", "grp").agg(F.count("*").alias("held"))
-        .where(F.col("held") >= F.ceil(F.col("nq") * percent / 100))
-        .select("q", "nq", "grp")
-    )
-    to_compare = (
-        sized.where("held = 1").select("q", "nq", "grp").union(opened)
-        .join(holders.select("grp", F.col("cls").alias("b"), F.col("n").alias("nb")), "grp")
-        .where(_near_sizes("nq", "nb", percent))
-        .select(F.col("q").alias("a"), "b")
-    )
-    more_links = _linked(to_compare, sets, percent)
-    roots = components(links.union(more_links))
+    roots = components(_links_within(present, sets, percent))
 
     found = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "cls", F.coalesce("root", "cls").alias("root")

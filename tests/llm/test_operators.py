@@ -275,6 +275,28 @@ def test_jaccard(spark, docs, rows, empty):
     assert jaccard_groups.join(empty).count() == 0
 
 
+@pytest.mark.parametrize("words,percent", [(4, 85), (5, 80)])
+def test_jaccard_of_loose_families(spark, words, percent):
+    """Families of many distances from a text that is not there itself: deletions, insertions
+    and few replacements at few places, so that members share differences and link in chains."""
+    rng = random.Random(percent)
+    rows = []
+    for family in range(4):
+        base = prose(90 + 20 * family, 40 + family).split()
+        places = [rng.randrange(len(base)) for _ in range(8)]
+        for _ in range(45):
+            text = base.copy()
+            for at in rng.sample(places, rng.randint(1, 6)):
+                edit = rng.randrange(3)
+                text[at] = "" if edit == 0 else text[at] + f" x{at}" if edit == 1 else f"y{rng.randrange(3)}"
+            rows.append((len(rows), " ".join(text), None))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = jaccard_groups.join(df, words=words, percent=percent).collect()
+    want = brute_components(rows, words, percent)
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == want
+    assert 4 < len({r[2] for r in want}) < len(rows)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(50, 51), (52, 51), (60, 60)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
