@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +15,11 @@ from pyspark.sql import types as T
 #: Bytes of text worked on at once inside a task; a longer text forms a batch of its own.
 BATCH_BYTES = 1 << 20
 
+#: Whether Spark removes a query's shuffle files when the query ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,11 +37,27 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and a lost
-    executor costs no recomputation of what is before."""
+    executor costs no recomputation of what is before. Shuffle files go when the table is
+    there, since nothing else reads them."""
     spark = df.sparkSession
     folder = shared_folder(spark, label)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(folder)
+    _FOLDERS[table] = folder
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop(table))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm.bitmaps import Bloom, bloom_of, merged
-from ledgerline.llm.common import map_texts, stored, text_slices
+from ledgerline.llm.common import discard, map_texts, stored, text_slices
 from ledgerline.llm.graph import components
 from ledgerline.llm.textscan import Texts, mix
 
@@ -317,6 +317,7 @@ def _links_within(present: DataFrame, sets: DataFrame, percent: int) -> DataFram
         F.min(F.struct("far", "cls")).alias("c"), F.max("reach").alias("furthest")
     ).select("grp", F.col("c.cls").alias("centre"), F.col("c.far").alias("nearest"), "furthest")
     placed = stored(placed.join(centres, "grp"), "placed")
+    discard(diffs)
     near = placed.where("far + nearest <= 0 and cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b"))
     facts = placed.select("grp", "cls", "far", "reach", (F.col("far") + F.col("nearest") > 0).alias("outside"))
     partners = facts.where("reach > -far")
@@ -344,7 +345,7 @@ def join(
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     spark = docs.sparkSession
     scan = stored(_scan(rows, _sketch(rows.select("id", "text"), words), words, percent), "scan")
-    members = scan.select("id", "n", "cls")
+    members = stored(scan.select("id", "n", "cls"), "members")
     classes = stored(
         members.where("cls is not null").groupBy("cls")
         .agg(F.coalesce(F.min("id"), F.lit(0).cast("long")).alias("id"), F.first("n").alias("n")),
@@ -363,6 +364,7 @@ def join(
         .join(low_sizes, "b").where(_near_sizes("na", "nb", percent))
     )
     alike = stored(stars.select("a", "b"), "stars")
+    discard(keys)
     groups = components(alike)
 
     # Tokens of prefixes that several groups hold, and the queries and groups that share them.
@@ -372,6 +374,7 @@ def join(
         .select("cls", "n", "last", F.coalesce("root", "cls").alias("grp"), "prefix")
     )
     prefixes = stored(grouped, "prefixes")
+    discard(scan)
     tokens = prefixes.select(F.explode("prefix").alias("token"), "grp")
     open_tokens = stored(
         tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token"),
@@ -397,25 +400,29 @@ def join(
         prefixes.mapInArrow(shared, "token long, cls long, n long, last long, grp long").join(open_tokens, "token").distinct(),
         "postings",
     )
+    discard(prefixes, open_tokens)
     # Groups of loose families become one before queries meet groups.
     for turn in range(ROUNDS):
         tries = stored(_best_tries(postings, turn, percent), "tries")
         found = stored(
             _linked(tries, _fetch(rows, _needed(classes, tries.select("a"), tries.select("b")), words), LOOSE), "tried"
         )
+        discard(tries)
         if not found.limit(1).count():
             break
         alike = alike.union(found)
         groups = components(alike)
-        postings = stored(
+        older, postings = postings, stored(
             postings.drop("grp").join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left")
             .select("token", "cls", "n", "last", F.coalesce("root", "cls").alias("grp")),
             "postings",
         )
+        discard(older)
     unions = postings.groupBy("token", "grp").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.min("last").alias("lo"), F.max("last").alias("hi")
     )
     candidates = stored(_promising(postings, unions, percent), "candidates")
+    discard(postings)
     group_of = (
         classes.join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left")
         .select("cls", "n", F.coalesce("root", "cls").alias("grp"))
@@ -424,11 +431,14 @@ def join(
     everyone = group_of.select("grp", "cls", "n", F.lit(True).alias("own")).union(visits)
     opened = everyone.groupBy("grp").agg(F.count("*").alias("there")).where("there > 1").select("grp")
     present = stored(everyone.join(opened, "grp", "left_semi"), "present")
+    discard(candidates)
     sets = stored(
         _fetch(rows, _needed(classes, present.select("cls")), words).groupBy("cls").agg(F.first("tokens").alias("tokens")),
         "sets",
     )
-    roots = components(_links_within(present, sets, percent))
+    links = _links_within(present, sets, percent)
+    discard(present, sets)  # what links need of them is stored
+    roots = components(links)
 
     found = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "cls", F.coalesce("root", "cls").alias("root")
