@@ -318,8 +318,12 @@ def find_sessions(
     hits = sessions.where(
         (label == needle) | F.startswith(ident, needle) | F.contains(label, needle)
     ).select(F.col(session).alias("sessionId"), F.col(name).alias("name"))
-    # Summing before the join means only one row per session is ever joined.
-    spent = turns.groupBy(F.col(session).alias("sessionId")).agg(_total(cost).alias("cost"))
+    # Only turns of the hits are summed, and only one row per session meets its name.
+    paid = turns.select(F.col(session).alias("sessionId"), cost)
+    spent = (
+        paid.join(hits.select("sessionId"), "sessionId", "left_semi")
+        .groupBy("sessionId").agg(_total(cost).alias("cost"))
+    )
     return (
         hits.join(spent, "sessionId")
         .orderBy(F.desc("cost"), F.asc("sessionId"))

@@ -116,14 +116,15 @@ def one_session(spark: SparkSession, view: str, session_id: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {view} WHERE sessionId = :id", args={"id": session_id})
 
 
-def ask(spark: SparkSession, sql: str, limit: int = ROW_LIMIT) -> DataFrame:
-    """A free SELECT over the registered grains, at most ``limit`` rows.
+def ask(spark: SparkSession, sql: str, limit: int | None = ROW_LIMIT) -> DataFrame:
+    """A free SELECT over the registered grains, at most ``limit`` rows (None: all).
 
     The text runs as a subquery, so it can only read.
     """
     if not sql.strip():
         raise ValueError("no sql provided")
-    return spark.sql(f"SELECT * FROM (\n{sql}\n) LIMIT {int(limit)}")
+    rows = spark.sql(f"SELECT * FROM (\n{sql}\n)")
+    return rows if limit is None else rows.limit(int(limit))
 
 
 def shared_conf(profile_conf: Mapping[str, str], spark: SparkSession) -> None:
