@@ -6,10 +6,13 @@ A line (split at newlines) with a word fails when one of these holds:
   not made of them alone;
 - punctuation: no closing punctuation at its end and fewer than five words, or at least
   half as many exclamation marks as words and more than two;
+- navigation: separators (| > » › • · and a hyphen between spaces) cut it into three or more
+  items, and more than half of these have at most three words and no closing punctuation;
 - boilerplate: it holds one of the phrases of BOILERPLATE, in any letter case.
 
-Navigation lines are rows of short items between separators; the separators (| > » › •)
-count as markup, so a bar of links fails by the first rule whatever its words are.
+In a line that ends with closing punctuation hyphens are dashes of a sentence and cut nothing,
+nor does a dot between two l (Catalan). Links side by side without any separator are words in a
+row like a title's, and stay.
 
 A document is rejected when base counts fail (fewer than 50 words, or more than half of the
 words inside repeated three-word windows), or when the lines that pass hold less than half
@@ -49,6 +52,7 @@ BOILERPLATE = (
     "skip to content",
     "back to top",
 )
+ITEMS, ITEM_WORDS = 3, 3
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
 MAX_LOST = 0.5
@@ -57,6 +61,23 @@ _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)), re.IGNORECASE | re.ASCII)
 _MARKUP = re.compile("[" + re.escape(MARKUP) + "]")
 _ONLY_MARKUP = re.compile("[" + re.escape(MARKUP) + "]+")
+_SEPARATOR = r"[|>»›•]|(?<![lL])·|·(?![lL])"
+_BARS = re.compile(_SEPARATOR)
+_BARS_AND_HYPHENS = re.compile(_SEPARATOR + r"|(?<=[\x20\x09])-(?=[\x20\x09])")
+
+
+def is_navigation(line: str, end: str) -> bool:
+    """Whether a line, whose last character that is no space is end, is a bar of links."""
+    pieces = (_BARS if end and end in CLOSING.replace("»", "") else _BARS_AND_HYPHENS).split(line)
+    if len(pieces) < ITEMS:
+        return False
+    items = short = 0
+    for piece in pieces:
+        words = _WORDS.findall(piece)
+        if words:
+            items += 1
+            short += len(words) <= ITEM_WORDS and words[-1][-1] not in CLOSING
+    return items >= ITEMS and 2 * short > items
 
 
 def line_passes(line: str, found: list[str]) -> bool:
@@ -69,6 +90,8 @@ def line_passes(line: str, found: list[str]) -> bool:
     shouts = line.count("!")
     if shouts > 2 and 2 * shouts >= words:
         return False
+    if is_navigation(line, end):
+        return False
     return not _BOILERPLATE.search(line)
 
 

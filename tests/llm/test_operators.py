@@ -341,6 +341,36 @@ def test_line_rules(spark, docs, rows, empty):
     assert line_rules.apply_rules(empty).count() == 0
 
 
+@pytest.mark.parametrize(
+    "line, stays",
+    [
+        ("Sign in | My account | Order history | Contact us", False),
+        ("About us > Our team > Press room > Job openings", False),
+        ("About us » Our team » Press room »", False),
+        ("About us - Our team - Press room - Job openings", False),
+        ("About us · Our team · Press room · Job openings", False),
+        ("About us·Our team·Press room·Job openings", False),
+        ("Sign in | My account | The ten best things that happened to us last year", False),
+        ("He went to the shop on the corner - it was closed - and came home again.", True),
+        ("He went - as always - home by the lake.", True),
+        ("The whole story of the town and its people | The Daily News", True),
+        ("The house is old. | The garden is older. | The trees were here first.", True),
+        ("La intel·ligència paral·lela és un tema nou per a tothom", True),
+        ("A well-known, up-to-date, state-of-the-art machine stood there.", True),
+    ],
+)
+def test_navigation_lines(line, stays):
+    assert line_rules.line_passes(line, WORDS.findall(line)) == stays
+
+
+def test_navigation_goes_from_documents(spark):
+    bar, body = "Sign in | My account | Order history | Contact us", prose(70, 6)
+    df = spark.createDataFrame([(1, bar + "\n" + body), (2, "\n".join([bar] + [prose(9, 8)] * 5 + [bar] * 5))], "doc_id long, text string")
+    by = {r["doc_id"]: r for r in line_rules.apply_rules(df).collect()}
+    assert by[1]["cleaned_text"] == body and by[1]["kept_chars"] == sum(map(len, WORDS.findall(body))) and by[1]["kept"]
+    assert bar not in by[2]["cleaned_text"] and not by[2]["kept"]
+
+
 def test_ann(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(600, 16))
