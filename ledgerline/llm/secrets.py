@@ -4,7 +4,9 @@ Three patterns give the base spans (see BASE_KINDS). Then, for each character cl
 maximal run of the class is a candidate; a window slides over it and the Shannon entropy of
 its characters is kept up to date from counts: a step takes one character out of the counts
 and puts one in. A run whose highest window entropy reaches the class's threshold is a
-span, unless the allow-list names it or a base span overlaps it.
+span, unless the allow-list names it or a base span overlaps it. The classes are hex digits,
+letters of both cases with digits, and letters of one case with digits (base36, base32);
+runs without a digit or without a letter are no candidates.
 
 Only built-in column functions are used. A row is handled by itself, so nothing is
 shuffled, and a hot source or group of copies is only more rows.
@@ -41,7 +43,8 @@ _ASSIGN_WORDS = r"(?i)password|passwd|secret|token|api_?key"
 @dataclass(frozen=True)
 class CharClass:
     """Runs of a class are candidates when `needs` matches them; a window of `window`
-    characters with at least `bits` of entropy makes a span."""
+    characters with at least `bits` of entropy makes a span. Candidates that match `names`,
+    where there is one, are clean."""
 
     kind: str
     run: str
@@ -49,15 +52,24 @@ class CharClass:
     alphabet: str
     window: int
     bits: float
+    names: str = ""
 
 
 _HEX = "0123456789abcdef"
 _WIDE = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+_LOWER = "abcdefghijklmnopqrstuvwxyz0123456789_-"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-"
+# In one case, words come near to keys in entropy: words and numbers that are joined are names.
+_NAMES = r"^[_-]*([A-Za-z]+[0-9]{0,4}|[0-9]+)([_-]+([A-Za-z]+[0-9]{0,4}|[0-9]+))*[_-]*$"
 CLASSES = (
     CharClass("entropy_hex", r"(?<![A-Za-z0-9])[0-9A-Fa-f]{20,}(?![A-Za-z0-9])",
               r"[0-9].*[A-Fa-f]|[A-Fa-f].*[0-9]", _HEX, 20, 3.0),
     CharClass("entropy_wide", r"[A-Za-z0-9+/_-]{20,}",
               r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", _WIDE, 20, 3.7),
+    CharClass("entropy_lower", r"(?<![A-Za-z0-9])[a-z0-9_-]{20,}(?![A-Za-z0-9])",
+              r"^(?=.*[0-9])(?=.*[a-z])", _LOWER, 20, 3.5, _NAMES),
+    CharClass("entropy_upper", r"(?<![A-Za-z0-9])[A-Z0-9_-]{20,}(?![A-Za-z0-9])",
+              r"^(?=.*[0-9])(?=.*[A-Z])", _UPPER, 20, 3.4, _NAMES),
 )
 
 #: Candidates matching one of these are never spans: UUIDs, one repeated character, runs of
@@ -229,6 +241,7 @@ def added_spans(text: Column, base: Column, classes: tuple[CharClass, ...] = CLA
             return (
                 h["value"].rlike(kind.needs)
                 & ~_allowed(h["value"])
+                & (~h["value"].rlike(kind.names) if kind.names else F.lit(True))
                 & free
                 & (window_entropy(h["value"], kind) >= kind.bits)
             )
