@@ -6,7 +6,8 @@ return the columns of documents.
 
 1. quality_rules   failing lines go from the text, rejected documents go
 2. language_id     documents without letters, or without a language that holds half of
-                   their letters, go; a missing lang is filled in
+                   their letters, go; a missing lang is filled in. Where no row to learn
+                   from has a lang, only documents without letters go
 3. jaccard_groups  of documents whose five-word shingles are at least 0.8 alike, the one
                    with the smallest id stays
 4. secret_scan     secrets in texts are masked
@@ -53,8 +54,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(docs.where(~language.held_out(F.col("doc_id"), 3, 1)))
-    if not model.languages:  # nothing to tell languages by, so nothing to reject
-        return docs
+    if not model.languages:  # nothing to tell languages by; letters need no model
+        return _unpacked(language.with_letters(_packed(docs)).where("has_letters"), docs)
     found = language.predict(_packed(docs), model, spans=False)
     known = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE))
     return _unpacked(known, docs, lang=F.coalesce(F.col("row.lang"), F.col("lang_pred")))

@@ -278,6 +278,15 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", switch: float
     return map_texts(docs, text_col, make, fields + ([T.StructField("lang_spans", _SPAN)] if spans else []))
 
 
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with has_letters: whether a text has a word, which needs no model."""
+
+    def work(texts: pa.Array) -> dict:
+        return {"has_letters": np.diff(Words(texts.to_pylist()).word_bounds) > 0}
+
+    return map_texts(docs, text_col, lambda: work, [T.StructField("has_letters", T.BooleanType())])
+
+
 def held_out(id_col: Column, parts: int, which: int) -> Column:
     """Whether crc32 of the id as text falls in the part; a null id does not."""
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string")), F.lit(parts)) == which, F.lit(False))
