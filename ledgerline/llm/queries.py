@@ -13,8 +13,11 @@ from ledgerline.llm import (
     bpe_dp,
     jaccard_groups,
     language,
+    lexical_search,
     line_rules,
+    merkle,
     packing,
+    pareto_mix,
     quality_pu,
     secrets,
     token_files,
@@ -211,3 +214,33 @@ def op7_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count and component of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_groups.join(docs).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op11_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies of every document in a mix of all sources, weighed 5, 2, 1 in turn."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return pareto_mix.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty documents that rank highest for each benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof, and whether it still verifies where every line break
+    of half of the texts is deleted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    text = F.col("text")
+    rest = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & text.contains("\n")
+    shown = F.when(changed, merkle.digest_of(*rest, F.replace(text, F.lit("\n"), F.lit(""))))
+    proved = merkle.prove(docs, merkle.digest_of(*rest, text), shown)
+    return proved.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
