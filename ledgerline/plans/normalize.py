@@ -241,7 +241,7 @@ def normalize(
     turns = materialize(
         _turns(facts, images, digest, forest, families, prices, host_id), "turns"
     )
-    events = materialize(_events(facts, digest, forest.ancestry), "events")
+    events = materialize(_events(facts, digest, forest), "events")
     agent_runs = materialize(_agent_runs(turns, facts), "agent-runs")
     inherited = materialize(_inherited(facts, turns), "inherited")
     sessions = materialize(
@@ -251,14 +251,14 @@ def normalize(
         ),
         "sessions",
     )
-    fork_edges = materialize(_fork_edges(edges, sessions, digest, forest.ancestry, turns), "fork-edges")
+    fork_edges = materialize(_fork_edges(edges, sessions, digest, forest, turns), "fork-edges")
     lineages = materialize(_lineages(sessions, session_files), "lineages")
     grains = {
         "turns": turns.drop("requestKey", "originSession"),
         "toolCalls": _tool_calls(facts, turns),
         "events": events,
         "sessions": sessions,
-        "images": _attributed_images(images, digest, forest.ancestry),
+        "images": _attributed_images(images, digest, forest),
         "forkEdges": fork_edges,
         "agentRuns": agent_runs,
         "lineages": lineages,
@@ -271,7 +271,7 @@ def normalize(
 
 def _turns(facts, images, digest, forest, families, prices, host_id) -> DataFrame:
     winners = materialize(_winners(facts), "winners")
-    owned = lineage.origin_of(winners, digest, forest.ancestry)
+    owned = lineage.origin_of(winners, digest, forest)
     whole = (
         owned.join(_costs(winners, facts, prices), KEY, "left")
         .join(_structure(facts, images), KEY)
@@ -363,7 +363,7 @@ def _tool_calls(facts: DataFrame, turns: DataFrame) -> DataFrame:
     )
 
 
-def _events(facts: DataFrame, digest: DataFrame, ancestry: DataFrame) -> DataFrame:
+def _events(facts: DataFrame, digest: DataFrame, forest: lineage.Lineage) -> DataFrame:
     """Compactions, fallbacks and refusals, each record once, credited to its producer."""
     kinds = F.array_compact(
         F.array(
@@ -394,7 +394,7 @@ def _events(facts: DataFrame, digest: DataFrame, ancestry: DataFrame) -> DataFra
         )
         .select("r.*")
     )
-    return lineage.origin_of(once, digest, ancestry).select(
+    return lineage.origin_of(once, digest, forest).select(
         ts_of(F.col("ts")).alias("ts"),
         F.col("origin").alias("sessionId"),
         "projectSlug",
@@ -402,8 +402,8 @@ def _events(facts: DataFrame, digest: DataFrame, ancestry: DataFrame) -> DataFra
     )
 
 
-def _attributed_images(images: DataFrame, digest: DataFrame, ancestry: DataFrame) -> DataFrame:
-    return lineage.origin_of(images.drop(*KEY), digest, ancestry).select(
+def _attributed_images(images: DataFrame, digest: DataFrame, forest: lineage.Lineage) -> DataFrame:
+    return lineage.origin_of(images.drop(*KEY), digest, forest).select(
         F.coalesce("uuid", F.lit("")).alias("uuid"),
         F.col("origin").alias("sessionId"),
         ts_of(F.col("ts")).alias("ts"),
@@ -572,9 +572,9 @@ def _sessions(
     )
 
 
-def _fork_edges(edges, sessions, digest, ancestry, turns) -> DataFrame:
+def _fork_edges(edges, sessions, digest, forest, turns) -> DataFrame:
     billed = turns.select(F.col("sessionId").alias("session")).distinct()
-    anchors = lineage.billed_anchors(edges, ancestry, digest, billed)
+    anchors = lineage.billed_anchors(edges, forest, digest, billed)
     child = sessions.select(
         F.col("sessionId").alias("childSessionId"), "lineageId", "depth", "projectSlug", "project",
         "nTurnsInherited", "inheritedCost", (F.col("nTurnsNative") > 0).alias("childHasTurns"),
