@@ -112,7 +112,7 @@ def record_facts(records: DataFrame) -> DataFrame:
     )
     # A record without uuid counts as its own member of a response.
     place = F.concat_ws("\x01", *[F.col(c).cast("string") for c in ORDER])
-    return with_parts.withColumns(
+    return I.measured(with_parts).withColumns(
         {
             "requestKey": F.coalesce("requestId", F.lit("")),
             "member": F.coalesce("uuid", place),
@@ -186,8 +186,8 @@ def _costs(winners: DataFrame, facts: DataFrame, prices: PriceTable) -> DataFram
 
 
 def _image_rows(facts: DataFrame) -> DataFrame:
-    """Images of distinct records, sized. A fork's copy of a record adds none."""
-    once = (
+    """Images of distinct records. A fork's copy of a record adds none."""
+    return (
         facts.where(F.size("images") > 0)
         .groupBy("member")
         .agg(
@@ -197,7 +197,6 @@ def _image_rows(facts: DataFrame) -> DataFrame:
         )
         .select("r.uuid", "r.fileSessionId", "r.ts", *[f"r.{k}" for k in KEY], F.inline("r.images"))
     )
-    return I.with_dimensions(once)
 
 
 def _session_files(files: DataFrame, facts: DataFrame) -> DataFrame:

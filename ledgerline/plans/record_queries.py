@@ -236,8 +236,9 @@ def image_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.struct(F.struct(F.array(F.struct(F.lit("image").alias("type"), source.alias("source"))).alias("content")).alias("message"))
     rec = F.try_parse_json(F.to_json(record))
     refs = table(spark, sf_dir, "documents").select("doc_id", rec.alias("rec"))
-    found = refs.select("doc_id", F.inline(I.image_refs(F.col("rec"), R.content_blocks(F.col("rec")))))
-    return I.with_dimensions(found).select("doc_id", "mediaType", "width", "height", "estTokens")
+    found = refs.select("doc_id", I.image_refs(F.col("rec"), R.content_blocks(F.col("rec"))).alias("images"))
+    sized = I.measured(found).select("doc_id", F.inline("images"))
+    return sized.select("doc_id", "mediaType", "width", "height", "estTokens")
 
 
 @query(
