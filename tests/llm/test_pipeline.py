@@ -5,7 +5,7 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
-from test_operators import prose
+from test_llm_operators import prose
 
 import corpus_pipeline
 
