@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.functions.time import DAY_MS, HOUR_MS
-from ledgerline.operators.ordered import SLICE_MS, running_max, slice_of
+from ledgerline.operators.ordered import SLICE_MS, cut_in_slices, running_max
 
 # Candidate spacings of a time axis, in milliseconds.
 TICK_STEPS = tuple(
@@ -43,7 +43,7 @@ def peak_concurrency(
     largest of (what earlier slices left running + that slice's highest value).
     """
     keys = list(keys)
-    edges = spans.select(
+    moments = spans.select(
         *keys,
         F.inline(
             F.array(
@@ -51,10 +51,11 @@ def peak_concurrency(
                 F.struct((F.col(t1) + gap_ms).alias("_at"), F.lit(-1).alias("_d")),
             )
         ),
-    ).withColumn("_slice", slice_of("_at", slice_ms))
+    )
+    edges = cut_in_slices(moments, keys, "_at", ["_at", "_d"], slice_ms)
     upto = (
         Window.partitionBy(*keys, "_slice")
-        .orderBy("_at", "_d")
+        .orderBy("_at", "_d", "_row_hash")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     parts = (
@@ -91,7 +92,7 @@ def islands(
     starts = reach.withColumn("_start", F.when(F.col("_reach").isNull() | far, F.col(t0)))
     # A break is decided by earlier starts only, so rows tied on t0 agree once the
     # running start is taken over the whole tie.
-    order = [t0, F.col("_start").asc_nulls_last()]
+    order = [t0, F.col("_start").isNull(), "_start"]
     return running_max(
         starts, keys, t0, order, F.col("_start"), "island", True, slice_ms
     ).drop("_reach", "_start")

@@ -5,7 +5,12 @@ and one session may hold a large share of all turns. Here each key's timeline is
 into fixed slices of ``slice_ms`` (default ten minutes). Rows are shuffled once by
 (key, slice); what has to cross a slice border (a count, a last timestamp, a running
 maximum) is carried by a per-slice summary whose size per key is bounded by the time
-extent, not by the number of rows. Results are exact for every slice width.
+extent, not by the number of rows.
+
+A burst of rows at one moment, or many rows without a time, would still meet in one slice. So
+slices are cut again, at the places of one row in ``PIECE_ROWS`` that a hash of the row picks: a
+slice of few rows has no cut as a rule, one of n rows about n / PIECE_ROWS. Rows, summaries and
+carried values then go by piece. Results are exact for every slice width and every cut.
 
 Keys must not be NULL: label unknown ones first. Times may be; such rows come last.
 """
@@ -18,7 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE_MS = 600_000
+#: Rows of a slice per piece, on average.
+PIECE_ROWS = 1 << 20
 _SLICE = "_slice"
+#: Last in every order: tells rows apart that share all that orders them.
+_ROW = "_row_hash"
 
 
 def slice_of(ms: Column | str, slice_ms: int = SLICE_MS) -> Column:
@@ -27,6 +36,21 @@ def slice_of(ms: Column | str, slice_ms: int = SLICE_MS) -> Column:
     return F.coalesce(at, F.lit(2**62))
 
 
+def cut_in_slices(
+    df: DataFrame, keys: Sequence[str], ms: str, order: Sequence[Column | str], slice_ms: int, piece_rows: int | None = None
+) -> DataFrame:
+    """Add ``_slice``, a time slice and the piece of it, and ``_row_hash``, the last of the columns
+    that order rows. ``order`` is ascending, nulls first, and begins with the time."""
+    hashed = [F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+    rows = df.withColumn("_time", slice_of(ms, slice_ms)).withColumn(_ROW, F.xxhash64(*hashed))
+    columns = [F.col(c) if isinstance(c, str) else c for c in [*order, _ROW]]
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(columns)])
+    picked = rows.where(F.pmod(F.xxhash64(_ROW), F.lit(piece_rows or PIECE_ROWS)) == 0)
+    cuts = picked.groupBy(*keys, "_time").agg(F.collect_set(place).alias("_cuts"))
+    piece = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= place)), F.lit(0))
+    return rows.join(cuts, [*keys, "_time"], "left").withColumn(_SLICE, F.struct("_time", piece.alias("piece"))).drop("_time", "_cuts")
+
+
 def _before(keys: Sequence[str]):
     """All earlier slices of the same key."""
     return (
@@ -43,6 +67,7 @@ def with_sequence(
     total: str | None = "n",
     previous: str | None = None,
     slice_ms: int = SLICE_MS,
+    piece_rows: int | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row within its key, in time order.
 
@@ -50,7 +75,7 @@ def with_sequence(
     before (NULL on the first). ``ties`` order rows that share a timestamp.
     """
     keys = list(keys)
-    sliced = df.withColumn(_SLICE, slice_of(ms, slice_ms))
+    sliced = cut_in_slices(df, keys, ms, [ms, *ties], slice_ms, piece_rows)
     whole = Window.partitionBy(*keys)
     summary = sliced.groupBy(*keys, _SLICE).agg(
         F.count(F.lit(1)).alias("_rows"), F.max(ms).alias("_last")
@@ -62,15 +87,16 @@ def with_sequence(
         F.sum("_rows").over(whole).alias("_total"),
         F.lag("_last").over(whole.orderBy(_SLICE)).alias("_carry"),
     )
-    inside = Window.partitionBy(*keys, _SLICE).orderBy(ms, *ties)
+    inside = Window.partitionBy(*keys, _SLICE).orderBy(ms, *ties, _ROW)
     out = sliced.join(carried, [*keys, _SLICE]).withColumn(
         ordinal, F.col("_offset") + F.row_number().over(inside) - 1
     )
     if previous:
-        out = out.withColumn(previous, F.coalesce(F.lag(ms).over(inside), F.col("_carry")))
+        first = F.row_number().over(inside) == 1
+        out = out.withColumn(previous, F.when(first, F.col("_carry")).otherwise(F.lag(ms).over(inside)))
     if total:
         out = out.withColumn(total, F.col("_total"))
-    return out.drop(_SLICE, "_offset", "_total", "_carry")
+    return out.drop(_SLICE, _ROW, "_offset", "_total", "_carry")
 
 
 def number_in_chunks(
@@ -98,8 +124,9 @@ def number_in_chunks(
     )
 
 
-# Larger than the number of rows any piece of a file can hold.
-CHUNK_SPAN = 1_000_000_000
+# Rows of a piece of a file are numbered below this, more than an input split has bytes;
+# a session has room for 2^23 pieces.
+CHUNK_SPAN = 1 << 40
 
 
 def order_in_chunks(
@@ -130,6 +157,7 @@ def gap_usage(
     sums: dict[str, str] | None = None,
     maxima: dict[str, str] | None = None,
     slice_ms: int = SLICE_MS,
+    piece_rows: int | None = None,
 ) -> DataFrame:
     """Per key: first and last time, row count, and the time spent in gaps shorter than
     ``idle_ms`` (strictly between zero and the threshold), plus requested sums and maxima.
@@ -144,9 +172,9 @@ def gap_usage(
         return F.when((gap > 0) & (gap < F.lit(idle_ms)), gap).otherwise(F.lit(0))
 
     wanted = list(dict.fromkeys([*sums.values(), *maxima.values()]))
-    inside = Window.partitionBy(*keys, _SLICE).orderBy(ms)
+    inside = Window.partitionBy(*keys, _SLICE).orderBy(ms, _ROW)
     rows = df.select(*keys, ms, *[c for c in wanted if c not in keys and c != ms])
-    rows = rows.withColumn(_SLICE, slice_of(ms, slice_ms)).withColumn(
+    rows = cut_in_slices(rows, keys, ms, [ms], slice_ms, piece_rows).withColumn(
         "_gap", F.col(ms) - F.lag(ms).over(inside)
     )
     parts = rows.groupBy(*keys, _SLICE).agg(
@@ -178,10 +206,11 @@ def idle_gaps(
     threshold_ms: int,
     ties: Sequence[str] = (),
     slice_ms: int = SLICE_MS,
+    piece_rows: int | None = None,
 ) -> DataFrame:
     """Pauses of at least ``threshold_ms``, each with the position of the row before it."""
     rows = df.select(*keys, ms, *[t for t in ties if t not in keys and t != ms])
-    seq = with_sequence(rows, keys, ms, ties, "_i", None, "_prev", slice_ms)
+    seq = with_sequence(rows, keys, ms, ties, "_i", None, "_prev", slice_ms, piece_rows)
     gap = F.col(ms) - F.col("_prev")
     return seq.where(gap >= F.lit(threshold_ms)).select(
         *keys, (F.col("_i") - 1).alias("i"), gap.alias("ms")
@@ -197,13 +226,14 @@ def running_max(
     out: str,
     inclusive: bool = False,
     slice_ms: int = SLICE_MS,
+    piece_rows: int | None = None,
 ) -> DataFrame:
     """Largest ``value`` among the rows before this one (or up to it) within the key.
 
-    ``order`` must begin with ``ms``, so that slices and rows agree on the order.
+    ``order`` is ascending, nulls first, and begins with ``ms``, so that slices and rows agree on it.
     """
     keys = list(keys)
-    sliced = df.withColumn(_SLICE, slice_of(ms, slice_ms)).withColumn("_v", value)
+    sliced = cut_in_slices(df, keys, ms, order, slice_ms, piece_rows).withColumn("_v", value)
     carried = (
         sliced.groupBy(*keys, _SLICE)
         .agg(F.max("_v").alias("_m"))
@@ -211,13 +241,13 @@ def running_max(
     )
     inside = (
         Window.partitionBy(*keys, _SLICE)
-        .orderBy(*order)
+        .orderBy(*order, _ROW)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
     return (
         sliced.join(carried, [*keys, _SLICE])
         .withColumn(out, F.greatest(F.max("_v").over(inside), F.col("_carry")))
-        .drop(_SLICE, "_v", "_carry")
+        .drop(_SLICE, _ROW, "_v", "_carry")
     )
 
 
@@ -228,6 +258,7 @@ def place_marks(
     ms: str,
     ordinal: str = "i",
     slice_ms: int = SLICE_MS,
+    piece_rows: int | None = None,
 ) -> DataFrame:
     """Backward inclusive as-of: position of the last row at or before each mark, else -1.
 
@@ -244,7 +275,8 @@ def place_marks(
         F.lit(1).alias("_row"),
         F.lit(None).cast(tagged_marks.schema["_p"].dataType).alias("_p"),
     )
-    both = tagged_rows.unionByName(tagged_marks).withColumn(_SLICE, slice_of(ms, slice_ms))
+    order = [ms, -F.col("_row")]
+    both = cut_in_slices(tagged_rows.unionByName(tagged_marks), keys, ms, order, slice_ms, piece_rows)
     carried = (
         both.groupBy(*keys, _SLICE)
         .agg(F.sum("_row").alias("_rows"))
@@ -256,7 +288,7 @@ def place_marks(
     )
     upto = (
         Window.partitionBy(*keys, _SLICE)
-        .orderBy(ms, F.col("_row").desc())
+        .orderBy(*order, _ROW)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     placed = both.join(carried, [*keys, _SLICE]).withColumn(

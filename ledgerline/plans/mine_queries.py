@@ -326,7 +326,7 @@ def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "mine_replay",
     f"""WITH {LINES_SQL}
-    SELECT s AS "sessionId", (dense_rank() OVER (PARTITION BY s ORDER BY walk, e // 65536) - 1) * 1000000000
+    SELECT s AS "sessionId", (dense_rank() OVER (PARTITION BY s ORDER BY walk, e // 65536) - 1) * 1099511627776
              + row_number() OVER (PARTITION BY s, walk, e // 65536 ORDER BY e) - 1 AS seq, ms,
            agent AS "agentId", CASE WHEN kind = 'error' THEN 'subagent' ELSE 'main' END AS context,
            'u' || CAST(e AS VARCHAR) AS uuid, CASE WHEN kind = 'view' THEN 'user' ELSE 'assistant' END AS role,

@@ -117,6 +117,31 @@ def test_slices_never_change_results(spark, width):
         assert (used[s]["k"], used[s]["top"]) == (sum(range(len(ts))), len(ts) - 1)
 
 
+def test_a_burst_is_cut_into_pieces(spark):
+    """A third of all rows at one millisecond, and a third without a time, spread over many pieces
+    with the same results."""
+    rng = random.Random(6)
+    rows = [("a", 5_000, f"k{rng.random()}", rng.randrange(9)) for _ in range(900)]
+    rows += [("a", None, f"k{rng.random()}", rng.randrange(9)) for _ in range(900)]
+    rows += [(rng.choice("ab"), rng.randrange(20_000), f"k{rng.random()}", rng.randrange(9)) for _ in range(900)]
+    df = spark.createDataFrame(rows, "s string, ms long, k string, v long")
+    pieces = ordered.cut_in_slices(df, ["s"], "ms", ["ms", "k"], 600_000, 40)
+    sizes = [r["count"] for r in pieces.where("ms IS NULL OR ms = 5000").groupBy("_slice").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 500
+    one = dict(slice_ms=600_000, piece_rows=1 << 40)
+    many = dict(slice_ms=600_000, piece_rows=40)
+
+    def both(f):
+        assert sorted(map(str, f(**one).collect())) == sorted(map(str, f(**many).collect()))
+
+    both(lambda **w: ordered.with_sequence(df, ["s"], "ms", ["k"], "i", "n", "prev", **w))
+    both(lambda **w: ordered.gap_usage(df, ["s"], "ms", 9, {"v": "v"}, {"top": "v"}, **w))
+    both(lambda **w: ordered.idle_gaps(df, ["s"], "ms", 30, ["k"], **w))
+    both(lambda **w: ordered.running_max(df, ["s"], "ms", ["ms", "k"], F.col("v"), "top", **w))
+    marks = df.where("v = 3").select("s", "ms", F.col("k").alias("mark"))
+    both(lambda **w: ordered.place_marks(df, marks, ["s"], "ms", **w))
+
+
 def test_rows_without_a_time_are_kept_last(spark):
     df = spark.createDataFrame([("s", 5), ("s", None), ("s", 900), ("s", None)], "s string, ms long")
     seq = ordered.with_sequence(df, ["s"], "ms", (), "i", "n", "prev", 10).orderBy("i").collect()
