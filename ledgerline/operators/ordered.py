@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.sources.scratch import materialize
+
 SLICE_MS = 600_000
 #: Rows of a slice per piece, on average.
 PIECE_ROWS = 1 << 20
@@ -99,6 +101,27 @@ def with_sequence(
     return out.drop(_SLICE, _ROW, "_offset", "_total", "_carry")
 
 
+def place_in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str) -> DataFrame:
+    """Number the rows of each key from 0 by ``order`` (ascending, nulls first).
+
+    Rows are dealt by ranges of (key, order) and stored sorted; a key may span any number of
+    ranges, and what stands before a range is known from one count per key and range."""
+    keys = list(keys)
+    by = [F.col(c) if isinstance(c, str) else c for c in [*keys, *order]]
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    rows = materialize(dealt, "ranges").withColumns(
+        {"_range": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}
+    )
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
+    known = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_of"), shift.alias("_shift"))
+    same = F.col("_range") == F.col("_of")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(known, same).withColumn(out, F.col("_at") + F.col("_shift")).select(*df.columns, out)
+
+
 def number_in_chunks(
     df: DataFrame,
     keys: Sequence[str],

@@ -3,11 +3,15 @@
 Lines are parsed once into a narrow typed table (``record_facts``), written to the shared
 checkpoint folder because many branches read it. Payload text never enters a shuffle.
 Everything after that is aggregation and equi-joins on billing keys, uuids and sessions.
+
+Each grain and each table between is made and stored when it is first asked for.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +22,8 @@ from ledgerline.functions import variant as V
 from ledgerline.functions.time import ts_of
 from ledgerline.operators import billing, lineage, naming
 from ledgerline.operators.billing import PriceTable
-from ledgerline.operators.ordered import gap_usage
+from ledgerline.operators.ordered import gap_usage, place_in_ranges
+from ledgerline.operators.quality import side_by_side
 from ledgerline.schemas import conform
 from ledgerline.sources.scratch import materialize
 from ledgerline.sources.transcripts import CHUNK, ORDER, parse_records
@@ -47,18 +52,56 @@ TURN_TEXT = {
 }
 
 
+class Grains(Mapping):
+    """The grains by name, each conformed to its contract when it is taken."""
+
+    def __init__(self, work: Work):
+        self._makers = {
+            "turns": lambda: work.turns.drop("requestKey", "originSession"),
+            "toolCalls": lambda: _tool_calls(work.facts, work.turns, work.error_chars),
+            "events": lambda: work.events,
+            "sessions": lambda: work.sessions,
+            "images": lambda: _attributed_images(work.images, work.digest, work.forest),
+            "forkEdges": lambda: work.fork_edges,
+            "agentRuns": lambda: work.agent_runs,
+            "lineages": lambda: work.lineages,
+        }
+        self._made: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = conform(self._makers[name](), name)
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 @dataclass
 class Normalized:
     """The grains, and what the quality checks need besides them."""
 
-    grains: dict[str, DataFrame]
-    stats: DataFrame
-    unresolved: DataFrame
-    facts: DataFrame = field(repr=False)
+    grains: Mapping[str, DataFrame]
+    work: Work
 
     def __getitem__(self, grain: str) -> DataFrame:
         return self.grains[grain]
 
+    @property
+    def stats(self) -> DataFrame:
+        return self.work.stats
+
+    @property
+    def unresolved(self) -> DataFrame:
+        return self.work.forest.unresolved
+
+    @property
+    def facts(self) -> DataFrame:
+        return self.work.facts
+
 
 def record_facts(records: DataFrame) -> DataFrame:
     """One narrow row per record: identity, place, tokens, structure counts, references."""
@@ -214,58 +257,99 @@ def _session_files(files: DataFrame, facts: DataFrame) -> DataFrame:
     return known.join(own, "fileSessionId", "left").withColumnRenamed("fileSessionId", "session")
 
 
+class Work:
+    """The tables that grains are made of."""
+
+    def __init__(self, lines, files, prices: PriceTable, idle_seconds: float, host_id: str, error_chars: int | None):
+        self.lines, self.files, self.prices = lines, files, prices
+        self.idle_seconds, self.host_id, self.error_chars = idle_seconds, host_id, error_chars
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return materialize(record_facts(parse_records(self.lines)), "facts")
+
+    @cached_property
+    def session_files(self) -> DataFrame:
+        return materialize(_session_files(self.files, self.facts), "session-files")
+
+    @cached_property
+    def images(self) -> DataFrame:
+        return materialize(_image_rows(self.facts), "images")
+
+    @cached_property
+    def digest(self) -> DataFrame:
+        places = self.facts.where("fileKind = 'session'").select("fileSessionId", "uuid", "ts", *ORDER)
+        return materialize(lineage.session_digest(places, "fileSessionId", ORDER, CHUNK), "session-digest")
+
+    @cached_property
+    def forest(self) -> lineage.Lineage:
+        return lineage.resolve_lineage(self.digest, self.session_files)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return materialize(self.forest.edges, "edges")
+
+    @cached_property
+    def families(self) -> DataFrame:
+        return materialize(self.forest.families, "families")
+
+    @cached_property
+    def turns(self) -> DataFrame:
+        made = _turns(self.facts, self.images, self.digest, self.forest, self.families, self.prices, self.host_id)
+        return materialize(made, "turns")
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return materialize(_events(self.facts, self.digest, self.forest), "events")
+
+    @cached_property
+    def agent_runs(self) -> DataFrame:
+        return materialize(_agent_runs(self.turns, self.facts), "agent-runs")
+
+    @cached_property
+    def inherited(self) -> DataFrame:
+        return materialize(_inherited(self.facts, self.turns), "inherited")
+
+    @cached_property
+    def sessions(self) -> DataFrame:
+        made = _sessions(
+            self.facts, self.session_files, self.digest, self.turns, self.events, self.agent_runs,
+            self.inherited, self.edges, self.families, self.idle_seconds, self.host_id,
+        )
+        return materialize(made, "sessions")
+
+    @cached_property
+    def fork_edges(self) -> DataFrame:
+        return materialize(_fork_edges(self.edges, self.sessions, self.digest, self.forest, self.turns), "fork-edges")
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return materialize(family_members(self.sessions, self.session_files), "members")
+
+    @cached_property
+    def lineages(self) -> DataFrame:
+        return materialize(_lineages(self.members), "lineages")
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return _stats(
+            self.files, self.facts, self.turns, self.inherited, self.session_files, self.fork_edges,
+            self.lineages, self.agent_runs, self.forest.unresolved, self.prices.version,
+        )
+
+
 def normalize(
     lines: DataFrame,
     files: DataFrame,
     prices: PriceTable,
     idle_seconds: float = IDLE_SECONDS,
     host_id: str = "",
+    error_chars: int | None = ERROR_CHARS,
 ) -> Normalized:
-    """All grains from classified lines and the list of transcript files."""
-    facts = materialize(record_facts(parse_records(lines)), "facts")
-    session_files = materialize(_session_files(files, facts), "session-files")
-    images = materialize(_image_rows(facts), "images")
-
-    in_sessions = facts.where("fileKind = 'session'")
-    digest = materialize(
-        lineage.session_digest(
-            in_sessions.select("fileSessionId", "uuid", "ts", *ORDER), "fileSessionId", ORDER, CHUNK
-        ),
-        "session-digest",
-    )
-    forest = lineage.resolve_lineage(digest, session_files)
-    edges = materialize(forest.edges, "edges")
-    families = materialize(forest.families, "families")
-
-    turns = materialize(
-        _turns(facts, images, digest, forest, families, prices, host_id), "turns"
-    )
-    events = materialize(_events(facts, digest, forest), "events")
-    agent_runs = materialize(_agent_runs(turns, facts), "agent-runs")
-    inherited = materialize(_inherited(facts, turns), "inherited")
-    sessions = materialize(
-        _sessions(
-            facts, session_files, digest, turns, events, agent_runs, inherited, edges, families,
-            idle_seconds, host_id,
-        ),
-        "sessions",
-    )
-    fork_edges = materialize(_fork_edges(edges, sessions, digest, forest, turns), "fork-edges")
-    lineages = materialize(_lineages(sessions, session_files), "lineages")
-    grains = {
-        "turns": turns.drop("requestKey", "originSession"),
-        "toolCalls": _tool_calls(facts, turns),
-        "events": events,
-        "sessions": sessions,
-        "images": _attributed_images(images, digest, forest),
-        "forkEdges": fork_edges,
-        "agentRuns": agent_runs,
-        "lineages": lineages,
-    }
-    unresolved = forest.unresolved
-    grains = {name: conform(df, name) for name, df in grains.items()}
-    stats = _stats(files, facts, turns, inherited, session_files, fork_edges, lineages, agent_runs, unresolved, prices.version)
-    return Normalized(grains, stats, unresolved, facts)
+    """All grains from classified lines and the list of transcript files. ``error_chars`` is how
+    much of a tool's error text is kept; None keeps the whole."""
+    work = Work(lines, files, prices, idle_seconds, host_id, error_chars)
+    return Normalized(Grains(work), work)
 
 
 def _turns(facts, images, digest, forest, families, prices, host_id) -> DataFrame:
@@ -323,7 +407,12 @@ def outcome_flags(is_error: Column, outcome: Column) -> Column:
     return F.when(failed, F.lit(False)).when(outcome["ok"], F.lit(True))
 
 
-def _tool_calls(facts: DataFrame, turns: DataFrame) -> DataFrame:
+def kept_text(text: Column, chars: int | None) -> Column:
+    """The first characters of a text, or all of it."""
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def _tool_calls(facts: DataFrame, turns: DataFrame, error_chars: int | None) -> DataFrame:
     """One row per call, with the outcome of the result that names it, wherever that is."""
     calls = (
         _billed(facts)
@@ -355,7 +444,7 @@ def _tool_calls(facts: DataFrame, turns: DataFrame) -> DataFrame:
             "context",
             outcome_flags(F.col("r.isError"), outcome).alias("ok"),
             outcome["interrupted"].alias("interrupted"),
-            F.substring(outcome["error"], 1, ERROR_CHARS).alias("errorKind"),
+            kept_text(outcome["error"], error_chars).alias("errorKind"),
             F.floor(outcome["exitCode"] + 0.5).alias("exitCode"),
             F.floor(outcome["durationMs"] + 0.5).alias("durationMs"),
         )
@@ -418,12 +507,13 @@ def _joined_names(column: str) -> Column:
 
 def _agent_runs(turns: DataFrame, facts: DataFrame) -> DataFrame:
     """One row per agent instance and the session that paid for it."""
-    launched = (
-        facts.where("forkContext IS NOT NULL")
-        .groupBy(F.coalesce("forkContext.agentId", "fileAgentId").alias("agentId"))
-        .agg(F.min_by("forkContext", _order()).alias("f"))
-        .select("agentId", F.col("f.contextLength").alias("inheritedContextLength"), "f.parentLastUuid")
+    # A context counts for the agent's run in the session that its file lies under, and for runs
+    # in other sessions (a fork's copy of the agent) where they have none of their own.
+    declared = facts.where("forkContext IS NOT NULL").select(
+        F.coalesce("forkContext.agentId", "fileAgentId").alias("agentId"), "fileSessionId", "forkContext", _order().alias("_at")
     )
+    own = declared.groupBy("agentId", F.col("fileSessionId").alias("sessionId")).agg(F.min_by("forkContext", "_at").alias("_own"))
+    any_of = declared.groupBy("agentId").agg(F.min_by("forkContext", "_at").alias("_any"))
     runs = (
         turns.where("context <> 'main' AND agentId IS NOT NULL")
         .groupBy("agentId", "sessionId")
@@ -445,8 +535,11 @@ def _agent_runs(turns: DataFrame, facts: DataFrame) -> DataFrame:
     )
     ident, kind = F.col("agentId"), F.col("agentType")
     span = F.unix_millis("lastTs") - F.unix_millis("firstTs")
-    return runs.join(launched, "agentId", "left").select(
+    context = F.coalesce("_own", "_any")
+    return runs.join(own, ["agentId", "sessionId"], "left").join(any_of, "agentId", "left").select(
         "*",
+        context["contextLength"].alias("inheritedContextLength"),
+        context["parentLastUuid"].alias("parentLastUuid"),
         F.col("sessionId").alias("parentSessionId"),
         R.agent_name(ident).alias("name"),
         R.agent_name_kind(ident, kind).alias("nameKind"),
@@ -599,16 +692,19 @@ def _fork_edges(edges, sessions, digest, forest, turns) -> DataFrame:
     )
 
 
-def _lineages(sessions: DataFrame, session_files: DataFrame) -> DataFrame:
-    """One row per fork family, its sessions listed root first."""
-    walked = sessions.join(
-        session_files.select(F.col("session").alias("sessionId"), "walk"), "sessionId", "left"
-    )
-    root = F.struct("depth", "walk", "sessionId")
-    ids = F.transform(
-        F.array_sort(F.collect_list(F.struct("depth", "walk", "sessionId"))), lambda r: r["sessionId"]
-    )
-    return walked.groupBy("lineageId").agg(
+def family_members(sessions: DataFrame, session_files: DataFrame) -> DataFrame:
+    """Every session with its family and its place there, root first: by depth, then in walk
+    order. Places come from ranges of the whole order, so no task holds a family."""
+    walked = sessions.join(session_files.select(F.col("session").alias("sessionId"), "walk"), "sessionId", "left")
+    return place_in_ranges(walked, ["lineageId"], ["depth", "walk", "sessionId"], "ordinal")
+
+
+def _lineages(members: DataFrame) -> DataFrame:
+    """One row per fork family. Its sessions are listed as one text, as the grain's contract
+    has it; the table of members says the same without one."""
+    root = F.struct("ordinal")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "sessionId"))), lambda r: r["sessionId"])
+    return members.groupBy("lineageId").agg(
         F.col("lineageId").alias("rootSessionId"),
         F.min_by("projectSlug", root).alias("projectSlug"),
         F.min_by("project", root).alias("project"),
@@ -619,7 +715,7 @@ def _lineages(sessions: DataFrame, session_files: DataFrame) -> DataFrame:
         F.max("lastTs").alias("lastTs"),
         F.sum("nTurnsNative").alias("nTurns"),
         F.sum("nativeCost").alias("totalCost"),
-        F.array_join(ids, ",").alias("sessionIds"),
+        F.array_join(listed, ",").alias("sessionIds"),
     )
 
 
@@ -671,17 +767,4 @@ def _stats(
         unresolved.agg(F.count(F.lit(1)).alias("unresolvedForks")),
         agent_runs.agg(F.count(F.lit(1)).alias("agentRuns")),
     ]
-    # Each part is one row; they become (stat, value) rows and one pivoted row again.
-    names = [c for part in parts for c in part.columns]
-    long = None
-    for part in parts:
-        pairs = F.array(
-            *[F.struct(F.lit(c).alias("stat"), F.col(c).cast("double").alias("value")) for c in part.columns]
-        )
-        rows = part.select(F.inline(pairs))
-        long = rows if long is None else long.unionByName(rows)
-    row = long.groupBy().pivot("stat", names).agg(F.first("value"))
-    return row.select(
-        *[F.col(n) if n == "totalCost" else F.col(n).cast("long").alias(n) for n in names],
-        F.lit(version).alias("pricingVersion"),
-    )
+    return side_by_side(parts).withColumn("pricingVersion", F.lit(version))
