@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ledgerline.functions.time import DAY_MS, HOUR_MS
 from ledgerline.operators.ordered import SLICE_MS, cut_in_slices, running_max
+from ledgerline.sources.scratch import materialize
 
 # Candidate spacings of a time axis, in milliseconds.
 TICK_STEPS = tuple(
@@ -86,7 +87,8 @@ def islands(
     A stretch breaks where a span starts later than everything before it has ended by
     more than ``gap_ms``; with ``touching_fuse`` off, by exactly ``gap_ms`` as well.
     """
-    reach = running_max(spans, keys, t0, [t0], F.col(t1), "_reach", False, slice_ms)
+    # Stored, as each running maximum reads its rows several times.
+    reach = materialize(running_max(spans, keys, t0, [t0], F.col(t1), "_reach", False, slice_ms), "reach")
     distance = F.col(t0) - F.col("_reach")
     far = distance > gap_ms if touching_fuse else distance >= gap_ms
     starts = reach.withColumn("_start", F.when(F.col("_reach").isNull() | far, F.col(t0)))
