@@ -223,6 +223,56 @@ def op11_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+ORACLES["op11_pareto_mix"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS row, doc_id, source, text,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         (CAST('0x' || substr(md5('row:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(source, '-')
+           || ':' || coalesce(md5(text), '-') || ':0'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM documents),
+weighed AS (
+  SELECT source, source_size, [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source)),
+stops AS (
+  SELECT *, 2 * source_size / weight::DOUBLE AS ratio, row_number() OVER w AS stopped,
+         sum(weight) OVER () - sum(weight) OVER w AS free, 2 * sum(source_size) OVER w AS fixed,
+         1.5::DOUBLE * sum(source_size) OVER () AS share, lead(2 * source_size / weight::DOUBLE) OVER (ORDER BY 2 * source_size / weight::DOUBLE, source) AS next
+  FROM weighed WINDOW w AS (ORDER BY 2 * source_size / weight::DOUBLE, source)),
+levels AS (
+  SELECT 0 AS stopped, max(share) / sum(weight)::DOUBLE AS level, min(ratio) AS next FROM stops
+  UNION ALL SELECT stopped, (share - fixed) / free::DOUBLE, next FROM stops WHERE free > 0),
+level AS (SELECT arg_min(level, stopped) AS level FROM levels WHERE level <= next),
+goals AS (SELECT source, source_size, least(level * weight, 2 * source_size::DOUBLE) AS target FROM weighed, level),
+wanted AS (
+  SELECT d.*, g.source_size, g.target,
+         CASE WHEN size > 0 THEN target / g.source_size::DOUBLE ELSE 0 END AS expected,
+         CASE WHEN size > 0 THEN 4 * (length(bin(size)) - 1) + (size * 4) // (1 << (length(bin(size)) - 1)) - 4 ELSE -1 END AS class
+  FROM docs d JOIN goals g ON g.source IS NOT DISTINCT FROM d.source),
+drawn AS (
+  SELECT *, CAST(floor(expected) AS BIGINT) AS whole, CAST(floor((expected - floor(expected)) * 1000000000) AS BIGINT) AS units FROM wanted),
+classes AS (
+  SELECT source, class, count(*) AS documents, sum(units)::DOUBLE AS units, sum(units * size)::DOUBLE AS words,
+         row_number() OVER (PARTITION BY source ORDER BY class DESC) AS step,
+         (CAST('0x' || substr(md5('class:' || coalesce(source, '-') || ':' || CAST(class AS VARCHAR) || ':0'), 1, 13) AS BIGINT)
+           + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM drawn WHERE units > 0 GROUP BY source, class),
+down AS (
+  SELECT source, CAST(0 AS BIGINT) AS step, CAST(-2 AS BIGINT) AS class, 0::DOUBLE AS owed, CAST(0 AS BIGINT) AS n FROM goals
+  UNION ALL
+  SELECT source, step, class, owed + words / 1000000000::DOUBLE - n * (words / units), n
+  FROM (SELECT c.source, c.step, CAST(c.class AS BIGINT) AS class, d.owed, c.words, c.units, CAST(least(c.documents, greatest(0,
+               floor((c.words / 1000000000::DOUBLE + d.owed) / (c.words / c.units) + c.u))) AS BIGINT) AS n
+        FROM down d JOIN classes c ON c.source IS NOT DISTINCT FROM d.source AND c.step = d.step + 1)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source, class ORDER BY CASE WHEN units > 0
+    THEN (u / (1 - u)) / ((units / 1000000000::DOUBLE) / (1 - units / 1000000000::DOUBLE)) ELSE 'inf'::DOUBLE END, size) - 1 AS place
+  FROM drawn)
+SELECT p.doc_id, p.size, p.source_size, p.target,
+       CAST(p.size * (p.whole + CASE WHEN p.place < d.n THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM placed p LEFT JOIN down d ON d.source IS NOT DISTINCT FROM p.source AND d.class = p.class
+"""
+
+
 @query
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty documents that rank highest for each benchmark item."""
@@ -230,6 +280,31 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+ORACLES["op12_lexical_search"] = r"""
+WITH words AS (
+  SELECT row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS row, * FROM documents)),
+counts AS (SELECT row, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+docs AS (SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY row),
+totals AS (SELECT count(*) AS N_, CAST(sum(n) AS BIGINT) AS L_ FROM docs),
+asked AS (
+  SELECT item, item_id, term, count(*) AS q FROM (
+    SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS item, * FROM benchmark))
+  GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * N_ + 2) / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), totals),
+scores AS (
+  SELECT a.item, a.item_id, c.row, c.doc_id,
+         CAST(sum(a.q * x.w * ((1000000000 * c.tf) // (1000 * c.tf + 12 * (100 - 25 + (25 * d.n * N_) // L_)))) AS BIGINT) AS score
+  FROM asked a JOIN counts c USING (term) JOIN weights x USING (term) JOIN docs d USING (row), totals GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 20
+"""
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, roots and proof, and whether it still verifies where every line break
@@ -244,3 +319,47 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+ORACLES["op13_merkle_manifest"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS k,
+         list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+           lambda i: [ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS INTEGER), 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) % 2 AS odd,
+         list_aggregate(list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)],
+           lambda v: coalesce(CAST(strlen(v) AS VARCHAR) || ':' || v, '-')), 'string_agg', '') AS head, text
+  FROM documents),
+leaves AS (
+  SELECT doc_id, k, sha256(head || coalesce(CAST(strlen(text) AS VARCHAR) || ':' || text, '-')) AS h,
+         CASE WHEN odd = 1 AND text IS NOT NULL THEN sha256(head || CAST(strlen(replace(text, chr(10), '')) AS VARCHAR) || ':' || replace(text, chr(10), '')) END AS shown
+  FROM docs),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM leaves),
+lower_(k, level, i, h, n) AS (
+  SELECT k, 0, i, h, n FROM placed
+  UNION ALL SELECT k, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM lower_ WHERE n > 1 GROUP BY k, level, i // 3, n),
+subroots AS (SELECT k, h, row_number() OVER (ORDER BY k) - 1 AS t, count(*) OVER () AS n FROM lower_ WHERE n = 1),
+upper_(level, i, h, n) AS (
+  SELECT 0, t, h, n FROM subroots
+  UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM upper_ WHERE n > 1 GROUP BY level, i // 3, n),
+nodes AS (
+  SELECT k, level, i, h, n FROM lower_
+  UNION ALL SELECT s.k, 1000 + u.level, u.i, u.h, u.n FROM upper_ u, subroots s),
+path AS (
+  SELECT p.doc_id, p.k, p.i AS leaf_at, x.level,
+         CASE WHEN x.level < 1000 THEN p.i // CAST(pow(3, x.level) AS BIGINT) ELSE s.t // CAST(pow(3, x.level - 1000) AS BIGINT) END AS at
+  FROM placed p JOIN subroots s USING (k) JOIN (SELECT DISTINCT k, level FROM nodes WHERE n > 1) x USING (k)),
+steps AS (
+  SELECT p.k, p.leaf_at, p.level, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i < p.at), '') AS before,
+         coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i > p.at), '') AS after
+  FROM path p JOIN nodes s ON s.k = p.k AND s.level = p.level AND s.i // 3 = p.at // 3 GROUP BY ALL),
+proofs AS (
+  SELECT k, leaf_at, string_agg(before || after, '' ORDER BY level) AS proof, list(before || '|' || after ORDER BY level) AS steps FROM steps GROUP BY ALL)
+SELECT p.doc_id, p.h AS leaf, s.h AS subroot, r.h AS root, sha256(coalesce(q.proof, '')) AS proof_sha256,
+       list_reduce(list_prepend(coalesce(p.shown, p.h), coalesce(q.steps, [])),
+         lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root,
+       folded_root = root AS verified
+FROM placed p JOIN subroots s USING (k) JOIN (SELECT h FROM upper_ WHERE n = 1) r ON true
+LEFT JOIN proofs q ON q.k = p.k AND q.leaf_at = p.i
+"""
