@@ -7,6 +7,7 @@ from ledgerline.plans import (  # noqa: F401
     mine_queries,
     record_queries,
     spend_queries,
+    text_queries,
     timeline_queries,
 )
 from ledgerline.plans.registry import ORACLES, QUERIES

@@ -7,8 +7,11 @@ the start of its input split, and an increasing number within the split.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +38,10 @@ def existing_roots(spark: SparkSession, roots: Sequence[str]) -> list[str]:
         if not root.strip():
             continue
         path = jvm.org.apache.hadoop.fs.Path(root.strip())
-        fs = path.getFileSystem(conf)
-        if not fs.exists(path):
+        store = path.getFileSystem(conf)
+        if not store.exists(path):
             continue
-        full = fs.makeQualified(path).toString().rstrip("/")
+        full = store.makeQualified(path).toString().rstrip("/")
         if full.startswith("file:"):
             full = "/" + full[len("file:") :].lstrip("/")
         if full not in found:
@@ -151,3 +154,35 @@ def transcript_files(spark: SparkSession, roots: Sequence[str], created: DataFra
     )
     files = listed.select(_plain(F.col("path")).alias("path"), F.col("length").alias("bytes"))
     return classify(files, roots, created).select(*FILE_COLUMNS)
+
+
+def write_lines(lines: DataFrame, folder: str, order: Sequence[str]) -> None:
+    """Write ``value`` of every row to the file ``path`` (relative) below folder, in the given order.
+
+    A file is written by one task, line by line as they come sorted, under a name that no
+    reader takes for a transcript, and gets its own when it is whole."""
+    columns = ["path", *order]
+
+    def write(batches):
+        store, base = fs.FileSystem.from_uri(folder)
+        current, out, draft, written = None, None, None, 0
+
+        def close():
+            if out is not None:
+                out.close()
+                store.move(f"{base}/{draft}", f"{base}/{current}")
+
+        for batch in batches:
+            for path, value in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                if path != current:
+                    close()
+                    current, draft = path, f"{path}.{uuid.uuid4().hex}.part"
+                    store.create_dir(f"{base}/{path.rpartition('/')[0]}")
+                    out = store.open_output_stream(f"{base}/{draft}")
+                    written += 1
+                out.write(value.encode() + b"\n")
+        close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([written], pa.int64())})
+
+    sorted_lines = lines.repartition("path").sortWithinPartitions(*columns)
+    sorted_lines.select("path", "value").mapInArrow(write, "files long").agg(F.sum("files")).collect()
