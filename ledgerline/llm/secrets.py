@@ -60,7 +60,8 @@ _WIDE = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 _LOWER = "abcdefghijklmnopqrstuvwxyz0123456789_-"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-"
 # In one case, words come near to keys in entropy: words and numbers that are joined are names.
-_NAMES = r"^[_-]*([A-Za-z]+[0-9]{0,4}|[0-9]+)([_-]+([A-Za-z]+[0-9]{0,4}|[0-9]+))*[_-]*$"
+# Groups repeat possessively: Java would otherwise recurse once a turn, and a long run overflow.
+_NAMES = r"^[_-]*(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)(?:[_-]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]+))*+[_-]*$"
 CLASSES = (
     CharClass("entropy_hex", r"(?<![A-Za-z0-9])[0-9A-Fa-f]{20,}(?![A-Za-z0-9])",
               r"[0-9].*[A-Fa-f]|[A-Fa-f].*[0-9]", _HEX, 20, 3.0),
@@ -79,7 +80,7 @@ ALLOW = (
     r"^(.)\1+$",
     r"(?i)abcdefghij|0123456789|9876543210",
     r"(?i)example|placeholder|changeme|redacted",
-    r"^([A-Za-z]+[0-9]{0,4}[/_-])+[A-Za-z]+[0-9]{0,4}$",
+    r"^(?:[A-Za-z]+[0-9]{0,4}[/_-])++[A-Za-z]+[0-9]{0,4}$",
 )
 
 

@@ -96,6 +96,21 @@ def test_secret_spans(spark, docs, empty):
     assert secrets.redact(docs).columns == docs.columns
 
 
+def test_secrets_in_very_long_runs(spark):
+    """Runs of 200 kB of every class, joined names and paths among them, end no executor."""
+    size = 200_000
+    runs = {
+        "k3-": [], "a1_b2-": [], "A1/b2/": [], "deadbeef01": ["hex"], "Zk3v9QpLx7Wm2RtY8cHn": ["entropy_wide"],
+        "k3j9x0q7w2m5z8p1r6t4": ["entropy_lower"], "K3J9X0Q7W2M5Z8P1R6T4": ["entropy_upper"],
+    }
+    texts = [("see " + r * (size // len(r)) + ("x" if r.endswith(("-", "/")) else "") + " .", k) for r, k in runs.items()]
+    texts += [("see " + "k3-" * 3000 + "A1b", None), ("x" * size, []), ("Ab1" * size, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: [s["kind"] for s in r["secret_spans"]] for r in secrets.scan(df).collect()}
+    for i, (text, kinds) in enumerate(texts):
+        assert kinds is None or got[i] == kinds, text[:20]
+
+
 def test_secrets_of_one_case(spark):
     keys = [
         ("entropy_lower", "k3j9x0q7w2m5z8p1r6t4y0u3i9o2a5s8"),
