@@ -35,20 +35,23 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """The text beside the whole row, so that no result column meets a column of docs."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    """The text beside the rest of the row, so that no result column meets a column of docs and
+    the text is handed on once."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*rest, F.lit(0).alias("no text")).alias("row"), F.col("text"))
 
 
 def _unpacked(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
     columns = []
     for c in docs.columns:
         kind = docs.schema[c].dataType
-        columns.append(changed[c].cast(kind).alias(c) if c in changed else F.col(f"row.`{c}`").alias(c))
+        value = changed.get(c, F.col("text") if c == "text" else F.col(f"row.`{c}`"))
+        columns.append(value.cast(kind).alias(c))
     return df.select(*columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = line_rules.apply_rules(_packed(docs)).where("kept")
+    judged = line_rules.apply_rules(_packed(docs)).where("kept").drop("text")
     return _unpacked(judged, docs, text=F.col("cleaned_text"), n_chars=F.length("cleaned_text"))
 
 
