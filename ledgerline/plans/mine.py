@@ -18,6 +18,7 @@ from ledgerline.plans.normalize import IDLE_SECONDS, Normalized, normalize
 from ledgerline.plans.replay_grain import replay_rows
 from ledgerline.session import configure
 from ledgerline.sources import sinks
+from ledgerline.sources.corpus import use_profile
 from ledgerline.sources.prices import read_prices
 from ledgerline.sources.scratch import release
 from ledgerline.sources.transcripts import existing_roots, read_lines, transcript_files
@@ -35,9 +36,12 @@ def mine(
     replay: bool = False,
     idle_seconds: float = IDLE_SECONDS,
     created_path: str | None = None,
+    profile: str | None = None,
 ) -> Normalized:
     """Normalize, check, export. Nothing is exported when an invariant is violated."""
     configure(spark)
+    if profile:
+        use_profile(spark, profile)
     sinks.assert_key_safe("username", username)
     sinks.assert_key_safe("host", host)
     created = spark.read.parquet(created_path) if created_path else None
@@ -56,13 +60,13 @@ def mine(
         "generatedAt": datetime.now(timezone.utc).isoformat(),
     }
     if found:
-        sinks.write_manifest(spark, out, source, result.grains, result.stats, found)
+        sinks.write_manifest(spark, out, username, host, source, result.stats, found)
         raise quality.InvariantError("; ".join(found))
     sinks.export_corpus(result.grains, out, username, host, months)
     if replay:
         sinks.write_replay(replay_rows(lines), out, username, host)
-    sizes = sinks.write_index(spark, out, source["generatedAt"], {host: host})
-    sinks.write_manifest(spark, out, source, result.grains, result.stats, found, sizes)
+    written = sinks.write_index(spark, out, username, host)
+    sinks.write_manifest(spark, out, username, host, source, result.stats, found, written)
     return result
 
 
@@ -78,12 +82,13 @@ def main(argv: list[str] | None = None) -> int:
     cli.add_argument("--replay", action="store_true")
     cli.add_argument("--idle-seconds", type=float, default=IDLE_SECONDS)
     cli.add_argument("--created", help="Parquet of (path, created_ms), where creation times are known")
+    cli.add_argument("--profile", help="named credentials for the object store")
     args = cli.parse_args(argv)
     spark = SparkSession.builder.appName("ledgerline-mine").getOrCreate()
     try:
         mine(
             spark, args.root, args.prices, args.price_version, args.out, args.username, args.host,
-            args.months, args.replay, args.idle_seconds, args.created,
+            args.months, args.replay, args.idle_seconds, args.created, args.profile,
         ).stats.show(vertical=True, truncate=False)
     except quality.InvariantError as e:
         print(f"invariants violated: {e}", file=sys.stderr)

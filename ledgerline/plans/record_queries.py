@@ -14,7 +14,7 @@ from ledgerline.functions.time import ms_of
 from ledgerline.operators.replay import cut
 from ledgerline.plans.registry import query, table
 from ledgerline.plans.spend_queries import TURNS_SQL, event_turns
-from ledgerline.schemas import Grain
+from ledgerline.schemas import GRAINS, Grain
 from ledgerline.session import ensure_checkpoint_dir
 from ledgerline.sources import corpus, sinks
 from ledgerline.sources.transcripts import classify, parse_records
@@ -381,3 +381,115 @@ def free_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     event_turns(spark, sf_dir).createOrReplaceTempView("turns")
     return corpus.one_session(spark, "turns", "7").select("event_id", ms_of("ts").alias("ms"))
+
+
+def _shared(spark: SparkSession, sf_dir: str) -> str:
+    """A corpus that two hosts of one user and another user have written, each with its index and
+    manifest; one of them twice, the second time less."""
+    prefix = f"{ensure_checkpoint_dir(spark)}/shared-{uuid.uuid4().hex}"
+    turns = event_turns(spark, sf_dir)
+    stats = spark.range(1).select(F.lit("v1").alias("pricingVersion"))
+    grains = {g.name: g for g in GRAINS}
+    for user, host, keep in (("a", "one", "event_id % 3 = 0"), ("a", "two", "event_id % 3 = 1"), ("b", "one", "true"), ("b", "one", "event_id % 3 = 2")):
+        share = turns.where(keep).withColumn("costTotal", F.col("costTotal").cast("double"))
+        contract = corpus.SCHEMAS["turns"].fields
+        rows = share.select(*[(F.col(f.name) if f.name in share.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in contract])
+        sinks.export_grain(rows, grains["turns"], prefix, user, host)
+        written = sinks.write_index(spark, prefix, user, host)
+        sinks.write_manifest(spark, prefix, user, host, {"roots": [f"/{host}"]}, stats, [], written)
+    return prefix
+
+
+_SHARE_SQL = f"""{TURNS_SQL}, shares AS (
+      SELECT *, CASE WHEN event_id % 3 = 2 THEN 'b' ELSE 'a' END AS username, CASE WHEN event_id % 3 = 1 THEN 'two' ELSE 'one' END AS host FROM turns)"""
+
+
+@query(
+    "shared_manifest",
+    f"""WITH {_SHARE_SQL}
+    SELECT username, host, 'turns' AS grain, count(*) AS rows, true AS sized, '/' || host AS root FROM shares GROUP BY 1, 2""",
+)
+def shared_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests of all shares read as one table."""
+    prefix = _shared(spark, sf_dir)
+    roots = corpus.read_manifests(spark, prefix).select(
+        "username", "host", F.variant_get("document", "$.source.roots[0]", "string").alias("root")
+    )
+    held = corpus.manifest_tables(spark, prefix).where("rows > 0")
+    return held.join(roots, ["username", "host"]).select(
+        "username", "host", "grain", "rows", (F.col("bytes") > 0).alias("sized"), "root"
+    )
+
+
+@query(
+    "shard_index_roundtrip",
+    f"""WITH {_SHARE_SQL}
+    SELECT username, host, 'turns' AS grain, strftime(ts, '%Y-%m') AS month, count(*) AS rows, true AS found FROM shares GROUP BY 1, 2, 4""",
+)
+def shard_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The indexes of all shares, and that the files they name are those of the corpus."""
+    prefix = _shared(spark, sf_dir)
+    lines = corpus.read_index(spark, prefix)
+    there = sinks.shard_index(spark, prefix, ["turns"]).select("path", F.col("bytes").alias("size"))
+    return (
+        lines.join(there, "path", "full")
+        .groupBy("username", "host", "grain", "month")
+        .agg(F.sum("rows").alias("rows"), F.bool_and(F.col("bytes").eqNullSafe(F.col("size"))).alias("found"))
+    )
+
+
+@query(
+    "listed_shards",
+    f"""WITH {_SHARE_SQL}, newest AS (SELECT max(strftime(ts, '%Y-%m')) AS month FROM turns)
+    SELECT username, host, strftime(ts, '%Y-%m') AS month, count(*) AS turns, CAST(sum(k) AS BIGINT) AS tokens
+    FROM shares, newest WHERE strftime(ts, '%Y-%m') = newest.month AND username = 'a' GROUP BY 1, 2, 3""",
+)
+def listed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the shards that the index lists for one user's newest month."""
+    prefix = _shared(spark, sf_dir)
+    lines = corpus.read_index(spark, prefix)
+    newest = lines.agg(F.max("month")).first()[0]
+    paths = [r["path"] for r in lines.where((F.col("month") == newest) & (F.col("username") == "a")).select("path").collect()]
+    return corpus.read_shards(spark, prefix, paths).groupBy("username", "host", "month").agg(
+        F.count(F.lit(1)).alias("turns"), F.sum("cacheReadTokens").alias("tokens")
+    )
+
+
+@query(
+    "evolved_shards",
+    f"""WITH {TURNS_SQL}
+    SELECT CASE WHEN event_id % 2 = 0 THEN 'old' ELSE 'new' END AS username, sessionId AS "sessionId",
+           CAST(CASE WHEN event_id % 2 = 1 THEN project END AS VARCHAR) AS project, ms, k AS "cacheReadTokens",
+           CAST(NULL AS VARCHAR) AS model, CAST(cost AS DOUBLE) AS "costTotal"
+    FROM turns""",
+)
+def evolved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of two versions: the old ones lack columns, order them otherwise and hold narrower
+    numbers, the new ones have a column that no contract knows."""
+    prefix = f"{ensure_checkpoint_dir(spark)}/evolved-{uuid.uuid4().hex}"
+    turns = event_turns(spark, sf_dir).withColumn("costTotal", F.col("costTotal").cast("double"))
+    grain = Grain("turns", "ts", by_month=True)
+    old = turns.where("event_id % 2 = 0").select("costTotal", F.col("cacheReadTokens").cast("int"), "ts", "sessionId")
+    new = turns.where("event_id % 2 = 1").select("sessionId", "ts", "project", "cacheReadTokens", "costTotal", F.lit(1).alias("later"))
+    sinks.export_grain(old, grain, prefix, "old", "h")
+    sinks.export_grain(new, grain, prefix, "new", "h")
+    back = corpus.read_conformed(spark, prefix, "turns")
+    return back.select("username", "sessionId", "project", ms_of("ts").alias("ms"), "cacheReadTokens", "model", "costTotal")
+
+
+@query(
+    "replay_roundtrip",
+    """SELECT CAST(conv_id AS VARCHAR) AS "sessionId", turn AS seq, text FROM conversations
+    WHERE conv_id = (SELECT max(conv_id) FROM conversations)""",
+)
+def replay_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replay of all conversations written in buckets; one session read back by pruning."""
+    prefix = f"{ensure_checkpoint_dir(spark)}/replays-{uuid.uuid4().hex}"
+    said = table(spark, sf_dir, "conversations")
+    rows = said.select(
+        F.col("conv_id").cast("string").alias("sessionId"), F.col("turn").alias("seq"),
+        F.timestamp_millis(F.col("conv_id") * 3_600_000 + F.col("turn") * 600_000).alias("ts"), "text",
+    )
+    sinks.write_replay(rows, prefix, "u", "h")
+    last = said.agg(F.max("conv_id").cast("string")).first()[0]
+    return corpus.read_replay(spark, prefix, last).select("sessionId", "seq", "text")

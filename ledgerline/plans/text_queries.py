@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.time import ms_of
+from ledgerline.operators import quality
 from ledgerline.operators.ordered import with_sequence
 from ledgerline.plans.fork_queries import ranked_users
 from ledgerline.plans.mine_queries import RATES
@@ -403,3 +404,52 @@ def mine_text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
         "inheritedTurnsSeen", "sessionFilesWithoutMarker", "forkEdges", "forkEdgesFromMarker", "forkEdgesAmbiguous",
         "lineages", "maxForkDepth", "unresolvedForks", "agentRuns", "totalCost", "pricingVersion",
     )
+
+
+@query(
+    "quality_each_broken",
+    f"""WITH {TEXT_SQL}, ko AS (SELECT * FROM turns WHERE uuid LIKE 'ko%')
+    SELECT 'totals' AS "check", 'sessions' AS problem FROM turns HAVING count(*) > 0
+    UNION ALL SELECT 'billing-keys', 'm' || uuid || ' was billed 2 times' FROM ko
+    UNION ALL SELECT 'dedup', 'dedup-adds-output kept=' || CAST(sum(output) AS BIGINT) || ' naive=0' FROM turns HAVING count(*) > 0
+    UNION ALL SELECT 'lineage', 'root-misplaced session=s' || u || ' depth=2 lineage=s' || u FROM moments WHERE u % 3 = 2
+    UNION ALL SELECT 'lineage', 'depth-step session=d' || u || ' depth=5 parent-depth=1' FROM moments WHERE u % 6 = 0
+    UNION ALL SELECT 'lineage', 'lineage-differs session=k' || u || ' lineage=other parent-lineage=s' || u FROM moments WHERE u % 3 = 1
+    UNION ALL SELECT 'lineage', 'start-before-fork session=y' || u FROM moments WHERE u % 5 = 4
+    UNION ALL SELECT 'lineage', 'parent-unknown session=g' || u || ' parent=gone' || u FROM moments WHERE u % 3 = 2
+    UNION ALL SELECT 'edges', 'edge-count edges=' || count(*) FILTER (left(child, 1) <> 'f') || ' children=' || count(*) FROM edges HAVING count(*) FILTER (left(child, 1) = 'f') > 0
+    UNION ALL SELECT 'agents', 'agent runs hold 0 turns of ' || count(*) FROM ko HAVING count(*) > 0""",
+)
+def quality_each_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each invariant over grains that are damaged so that it must fail, and how."""
+    good = mined(spark, sf_dir)
+    turns, sessions, edges = good["turns"], good["sessions"], good["forkEdges"]
+    own = F.col("messageId").startswith("mko")
+    letter, u = F.substring("sessionId", 1, 1), F.substring("sessionId", 2, 20).cast("long")
+    costly = sessions.withColumn("nativeCost", F.col("nativeCost") + 1)
+    misplaced = sessions.withColumns(
+        {
+            "depth": F.when((letter == "s") & (u % 3 == 2), F.lit(2).cast("long")).when(letter == "d", F.lit(5).cast("long")).otherwise(F.col("depth")),
+            "lineageId": F.when(letter == "k", "other").otherwise(F.col("lineageId")),
+            "firstNativeTs": F.when(letter == "y", F.timestamp_seconds(F.lit(0))).otherwise(F.col("firstNativeTs")),
+        }
+    )
+    present = edges.withColumn("parentMissing", F.lit(False))
+    agents = turns.withColumn("context", F.when(own, "subagent").otherwise(F.col("context"))).withColumn("agentId", F.when(own, "a"))
+    totals = quality.totals_agree(turns, costly, good["lineages"])
+    return (
+        totals.select("check", F.regexp_extract("problem", "^cost of ([a-z]+) is", 1).alias("problem"))
+        .unionByName(quality.unique_billing_keys(turns.unionByName(turns.where(own))))
+        .unionByName(quality.dedup_only_removes(good.stats.withColumn("naiveOutputTokens", F.lit(0).cast("long"))))
+        .unionByName(quality.lineage_closes(misplaced, present))
+        .unionByName(quality.edges_match_parents(sessions, edges.where(~F.col("childSessionId").startswith("f"))))
+        .unionByName(quality.agents_cover_turns(agents, good["agentRuns"]))
+    )
+
+
+@query("quality_text_corpus", f"""WITH {TEXT_SQL} SELECT 'none' AS verdict, count(*) AS turns FROM turns""")
+def quality_text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No invariant fails over a corpus with forks of every kind: the verdict beside what it is about."""
+    good = mined(spark, sf_dir)
+    found = quality.problems(good).agg(F.coalesce(F.min("problem"), F.lit("none")).alias("verdict"))
+    return quality.side_by_side([found, good["turns"].agg(F.count(F.lit(1)).alias("turns"))])

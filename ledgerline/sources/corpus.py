@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import json
-import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.schemas import GRAINS, SCHEMAS
 from ledgerline.sources.paths import holds_parquet, path_exists
-from ledgerline.sources.sinks import replay_bucket
+from ledgerline.sources.sinks import INDEX_LINES, SHARE_KEYS, assert_key_safe, replay_bucket
 
 ROW_LIMIT = 200
 _BY_NAME = {g.name: g for g in GRAINS}
@@ -45,6 +45,17 @@ def read_grain(spark: SparkSession, prefix: str, grain: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(f"{prefix}/{grain}")
 
 
+def read_conformed(spark: SparkSession, prefix: str, grain: str) -> DataFrame:
+    """All shards of one grain as its contract has it, with the keys of their paths.
+
+    The contract is the schema that is read: shards may order columns as they like, hold narrower
+    numbers, have columns beyond it, or lack some, which are then NULL. No footer is read to
+    plan the scan, however many shards there are."""
+    keys = [*SHARE_KEYS, *(["month"] if _BY_NAME[grain].by_month else [])]
+    fields = [*SCHEMAS[grain].fields, *[T.StructField(k, T.StringType()) for k in keys]]
+    return spark.read.schema(T.StructType(fields)).parquet(f"{prefix}/{grain}")
+
+
 def read_shards(spark: SparkSession, prefix: str, paths: Sequence[str]) -> DataFrame:
     """Only the listed shards, their keys still read from the path."""
     roots = {p.split("/", 1)[0] for p in paths}
@@ -73,7 +84,7 @@ def open_corpus(
     missing = []
     for grain in GRAINS:
         if holds_parquet(spark, f"{prefix}/{grain.name}"):
-            df = read_grain(spark, prefix, grain.name)
+            df = read_conformed(spark, prefix, grain.name)
             for key, wanted in (("username", username), ("host", host)):
                 df = df if wanted is None else df.where(F.col(key) == wanted)
             grains[grain.name] = df
@@ -90,13 +101,48 @@ def open_corpus(
 
 
 def read_sidecar(spark: SparkSession, path: str) -> dict | None:
-    """A JSON document stored beside the data; None when it is not there."""
+    """A JSON document stored beside the data; None when it is not there. A sidecar of lines,
+    or of several shares, is a table: see `read_lines_sidecar` and `read_manifests`."""
     if not path_exists(spark, path):
         return None
-    rows = spark.read.text(path, wholetext=True).limit(2).collect()
+    rows = spark.read.text(path, wholetext=True).where("value <> ''").take(2)
+    if len(rows) > 1:
+        raise CorpusError(f"{path} holds more than one document")
     return json.loads(rows[0]["value"]) if rows else None
 
 
+def read_lines_sidecar(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A sidecar of JSON lines in any number of files and shares; keys of shares come from the
+    path as text. Empty when it is not there."""
+    keyed = f"{schema}, username string, host string"
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], keyed)
+    return spark.read.schema(keyed).json(path)
+
+
+def read_index(spark: SparkSession, prefix: str) -> DataFrame:
+    """Every file of a shared corpus, from the indexes of all shares."""
+    return read_lines_sidecar(spark, f"{prefix}/index-shards", INDEX_LINES)
+
+
+def read_manifests(spark: SparkSession, prefix: str) -> DataFrame:
+    """One row per share that was written whole: username, host, document (VARIANT)."""
+    if not path_exists(spark, f"{prefix}/manifest"):
+        return spark.createDataFrame([], "username string, host string, document string").select(
+            "username", "host", F.parse_json("document").alias("document")
+        )
+    texts = spark.read.schema("value string, username string, host string").option("wholetext", True).text(f"{prefix}/manifest")
+    return texts.where("value <> ''").select("username", "host", F.parse_json("value").alias("document"))
+
+
+def manifest_tables(spark: SparkSession, prefix: str) -> DataFrame:
+    """What the shares hold: username, host, grain, rows, bytes."""
+    held = F.variant_get("document", "$.tables", "map<string,struct<rows:bigint,bytes:bigint>>")
+    return read_manifests(spark, prefix).select("username", "host", F.explode(held).alias("grain", "t")).select(
+        "username", "host", "grain", "t.rows", "t.bytes"
+    )
+
+
 def read_replay(spark: SparkSession, prefix: str, session_id: str) -> DataFrame | None:
     """One session's replay, read by pruning; None when replays were not written."""
     if not path_exists(spark, f"{prefix}/replay"):
@@ -127,8 +173,28 @@ def ask(spark: SparkSession, sql: str, limit: int | None = ROW_LIMIT) -> DataFra
     return rows if limit is None else rows.limit(int(limit))
 
 
-def shared_conf(profile_conf: Mapping[str, str], spark: SparkSession) -> None:
-    """Apply object-store settings (credential providers of a named profile) to the session."""
+#: Where Hadoop takes credentials from, in this order: the environment, then a
+#: named profile with its single sign-on or its keys.
+_PROVIDERS = (
+    "software.amazon.awssdk.auth.credentials.EnvironmentVariableCredentialsProvider",
+    "org.apache.hadoop.fs.s3a.auth.ProfileAWSCredentialsProvider",
+)
+
+
+def profile_settings(profile: str, bucket: str | None = None) -> dict[str, str]:
+    """Hadoop settings by which an object store is opened with a named profile's credentials:
+    environment first, then what the profile's entry says, single sign-on included. With a
+    bucket, only that one's."""
+    assert_key_safe("profile", profile)
+    start = f"fs.s3a.bucket.{bucket}" if bucket else "fs.s3a"
+    return {
+        f"{start}.aws.credentials.provider": ",".join(_PROVIDERS),
+        f"{start}.auth.profile.name": profile,
+    }
+
+
+def use_profile(spark: SparkSession, profile: str, bucket: str | None = None) -> None:
+    """Apply a profile's settings to the session, for reads and writes that follow."""
     conf = spark._jsc.hadoopConfiguration()
-    for key, value in profile_conf.items():
+    for key, value in profile_settings(profile, bucket).items():
         conf.set(key, value)

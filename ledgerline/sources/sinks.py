@@ -155,15 +155,16 @@ def _path_key(name: str) -> Column:
     return F.when((value != "") & (value != "__HIVE_DEFAULT_PARTITION__"), value)
 
 
-def shard_index(spark: SparkSession, prefix: str, grains: Sequence[str]) -> DataFrame:
-    """One row per file of the corpus: grain, keys, path below the prefix, bytes, rows.
+def shard_index(spark: SparkSession, prefix: str, grains: Sequence[str], share: str = "") -> DataFrame:
+    """One row per file of the corpus, or of one share (its folder's name below the grain):
+    grain, keys, path below the prefix, bytes, rows.
 
     Counting rows touches no column, so only file footers are read.
     """
-    shards = None
+    shards = spark.createDataFrame([], "grain string, path string, bytes long, rows long")
     for grain in grains:
         files = (
-            spark.read.parquet(f"{prefix}/{grain}")
+            spark.read.parquet(f"{prefix}/{grain}{share}")
             .select("_metadata.file_path", "_metadata.file_size")
             .groupBy("file_path", "file_size")
             .agg(F.count(F.lit(1)).alias("rows"))
@@ -174,7 +175,7 @@ def shard_index(spark: SparkSession, prefix: str, grains: Sequence[str]) -> Data
                 "rows",
             )
         )
-        shards = files if shards is None else shards.unionByName(files)
+        shards = shards.unionByName(files)
     return shards.select(
         "grain",
         _path_key("username").alias("username"),
@@ -227,60 +228,56 @@ def select_shards(shards: DataFrame, budget: int) -> DataFrame:
 def write_json(spark: SparkSession, path: str, document: Mapping) -> None:
     """One JSON document as a text sidecar beside the data."""
     frame = spark.createDataFrame([(json.dumps(document, default=str),)], T.StructType([T.StructField("value", T.StringType())]))
-    frame.coalesce(1).write.mode("overwrite").text(path)
-
-
-def write_index(
-    spark: SparkSession, prefix: str, generated_at: str, hosts: Mapping[str, str]
-) -> dict[str, int]:
-    """Corpus index: shards (with their users and hosts) as JSON lines, and a document with
-    policies, host names and totals. Returns the bytes of each grain."""
-    present = [g.name for g in GRAINS if holds_parquet(spark, f"{prefix}/{g.name}")]
-    shards = shard_index(spark, prefix, present)
-    shards.write.mode("overwrite").json(f"{prefix}/index-shards")
-    per_grain = index_totals(spark.read.json(f"{prefix}/index-shards")).collect()
-    write_json(
-        spark,
-        f"{prefix}/index",
-        {
-            "version": 1,
-            "generatedAt": generated_at,
-            "layout": LAYOUT,
-            "hosts": dict(hosts),
-            "grains": {
-                g.name: {"partitionedByMonth": g.by_month, "timeColumn": g.time_column} for g in GRAINS
-            },
-            "totals": {
-                "bytes": sum(r["bytes"] for r in per_grain),
-                "rows": sum(r["rows"] for r in per_grain),
-            },
-        },
+    frame.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "static").text(path)
+
+
+def write_index(spark: SparkSession, prefix: str, username: str, host: str) -> DataFrame:
+    """Index of one share: a line per file of its grains, replaced as a whole. Other shares keep
+    theirs, so hosts write side by side. Returns rows and bytes per grain."""
+    share = share_folder("", username, host)
+    present = [g.name for g in GRAINS if holds_parquet(spark, f"{prefix}/{g.name}{share}")]
+    folder = share_folder(f"{prefix}/index-shards", username, host)
+    lines = shard_index(spark, prefix, present, share).drop("username", "host")
+    lines.write.mode("overwrite").option("partitionOverwriteMode", "static").json(folder)
+    return spark.read.schema(INDEX_LINES).json(folder).groupBy("grain").agg(
+        F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")
     )
-    return {r["grain"]: r["bytes"] for r in per_grain}
+
+
+#: Columns of a line of the index; its keys are in the path.
+INDEX_LINES = "grain string, month string, path string, bytes long, rows long"
 
 
 def write_manifest(
     spark: SparkSession,
-    folder: str,
+    prefix: str,
+    username: str,
+    host: str,
     source: Mapping,
-    grains: Mapping[str, DataFrame],
     stats: DataFrame,
     problems: Sequence[str],
-    sizes: Mapping[str, int] | None = None,
+    written: DataFrame | None = None,
 ) -> None:
-    """Where the grains came from, their sizes, the statistics and the invariants' verdict.
+    """The share's manifest: where its grains came from, what was written of each, the statistics
+    and the invariants' verdict. It is written last, so a share that has one is whole.
 
-    ``sizes`` are bytes by grain; a grain that was not written has none.
+    ``written`` has rows and bytes by grain, as they lie in the corpus (trimmed to recent
+    months, say); None when nothing was exported. Every grain is named, empty or not.
     """
-    sizes = sizes or {}
+    sizes = {r["grain"]: r for r in written.collect()} if written is not None else {}
+    tables = {}
+    for g in GRAINS if written is not None else ():
+        own = sizes.get(g.name)
+        tables[g.name] = {"rows": own["rows"], "bytes": own["bytes"]} if own else {"rows": 0, "bytes": None}
     write_json(
         spark,
-        f"{folder}/manifest",
+        share_folder(f"{prefix}/manifest", username, host),
         {
+            "version": 1,
+            "layout": LAYOUT,
             "source": dict(source),
-            "tables": {
-                name: {"rows": df.count(), "bytes": sizes.get(name)} for name, df in grains.items()
-            },
+            "grains": {g.name: {"partitionedByMonth": g.by_month, "timeColumn": g.time_column} for g in GRAINS},
+            "tables": tables,
             "stats": stats.collect()[0].asDict(),
             "invariants": {"ok": not problems, "problems": list(problems)},
         },

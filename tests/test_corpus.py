@@ -177,10 +177,10 @@ def test_index_and_manifest(spark, mined):
         assert (r["username"], r["host"]) == ("first.last", "host-1")
         assert r["bytes"] == os.path.getsize(f"{mined['out']}/{r['path']}")
         assert (r["month"] is not None) == (r["grain"] == "turns")
-    index = corpus.read_sidecar(spark, f"{mined['out']}/index")
-    assert index["grains"]["turns"] == {"partitionedByMonth": True, "timeColumn": "ts"}
-    assert index["totals"]["rows"] >= 6
-    manifest = corpus.read_sidecar(spark, f"{mined['out']}/manifest")
+    index = corpus.read_index(spark, mined["out"]).collect()
+    assert {r["path"] for r in rows} < {r["path"] for r in index} and sum(r["rows"] for r in index) >= 6
+    manifest = corpus.read_sidecar(spark, sinks.share_folder(f"{mined['out']}/manifest", "first.last", "host-1"))
+    assert manifest["grains"]["turns"] == {"partitionedByMonth": True, "timeColumn": "ts"}
     assert manifest["invariants"] == {"ok": True, "problems": []}
     assert manifest["stats"]["parseErrors"] == 1 and manifest["tables"]["turns"]["rows"] == 4
     assert manifest["tables"]["turns"]["bytes"] == sum(r["bytes"] for r in rows if r["grain"] == "turns")
@@ -244,6 +244,41 @@ def test_replay(spark, mined):
     assert index[S1]["rows"] == 7 and index[S1]["t0"] < index[S1]["t1"]
 
 
+def test_two_hosts_mine_into_one_prefix(spark, mined):
+    """Each keeps its index and manifest, and a trimmed export is counted as it lies there."""
+    prices = f"{mined['base']}/prices.json"
+    mine(spark, [mined["root"]], prices, "v1", mined["out"], "first.last", "host-2", months=1)
+    tables = {(r["host"], r["grain"]): r["rows"] for r in corpus.manifest_tables(spark, mined["out"]).collect()}
+    assert tables["host-1", "turns"] == 4 and tables["host-2", "turns"] < 4
+    index = corpus.read_index(spark, mined["out"])
+    by_host = {r["host"]: r["n"] for r in index.where("grain = 'turns'").groupBy("host").agg(F.sum("rows").alias("n")).collect()}
+    assert by_host == {h: n for (h, g), n in tables.items() if g == "turns"}
+    held = corpus.open_corpus(spark, mined["out"], host="host-2")["turns"]
+    assert held.count() == by_host["host-2"]
+
+
+def test_shards_of_an_older_schema(spark, tmp_path):
+    turns = next(g for g in GRAINS if g.name == "turns")
+    old = spark.createDataFrame([("s", 5)], "sessionId string, nBlocks int").withColumn("ts", F.timestamp_seconds(F.lit(1)))
+    sinks.export_grain(old, turns, f"file://{tmp_path}", "u", "h")
+    (row,) = corpus.read_conformed(spark, f"file://{tmp_path}", "turns").collect()
+    assert (row["sessionId"], row["nBlocks"], row["model"], row["username"], row["month"]) == ("s", 5, None, "u", "1970-01")
+    with pytest.raises(corpus.CorpusError, match="required grains missing"):
+        corpus.open_corpus(spark, f"file://{tmp_path}")
+
+
+def test_profile_settings(spark):
+    found = corpus.profile_settings("team.dev", "data")
+    assert found["fs.s3a.bucket.data.auth.profile.name"] == "team.dev"
+    providers = found["fs.s3a.bucket.data.aws.credentials.provider"].split(",")
+    assert ["Environment" in providers[0], "Profile" in providers[1]] == [True, True]
+    corpus.use_profile(spark, "team.dev")
+    assert spark._jsc.hadoopConfiguration().get("fs.s3a.auth.profile.name") == "team.dev"
+    for name in ("", "a b", "../x"):
+        with pytest.raises(ValueError):
+            corpus.profile_settings(name)
+
+
 def test_hosts_share_a_corpus(spark, mined, tmp_path):
     rows = corpus.read_replay(spark, mined["out"], S1).drop("bucket")
     out = f"file://{tmp_path}/shared"
