@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators.ordered import place_in_ranges
+
 # Absolute cost breaks in dollars, and the size of the category palette.
 COST_BREAKS = (1, 10, 50, 200)
 PALETTE_SIZE = 12
@@ -70,17 +72,9 @@ def cost_tier(cost: Column) -> Column:
 
 
 def category_index(names: DataFrame, column: str = "project", size: int = PALETTE_SIZE) -> DataFrame:
-    """Stable palette slot per distinct name: alphabetical rank modulo the palette size.
-
-    Names are ranked among those with the same first two characters, then shifted by the
-    number of names in earlier groups; only those per-prefix counts are ordered globally.
-    """
+    """Stable palette slot per distinct name: alphabetical rank modulo the palette size. Ranks
+    come from ranges of the names, so no task ranks all that begin alike."""
     distinct = names.select(column).where(F.col(column).isNotNull()).distinct()
-    ordered = distinct.withColumn("_head", F.substring(column, 1, 2))
-    sizes = ordered.groupBy("_head").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_head", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    rank = F.row_number().over(Window.partitionBy("_head").orderBy(column)) - 1
-    return ordered.join(offsets, "_head").select(
-        column, F.pmod(F.col("_o") + rank, F.lit(size)).cast("int").alias("slot")
+    return place_in_ranges(distinct, [], [column], "_rank").select(
+        column, F.pmod("_rank", F.lit(size)).cast("int").alias("slot")
     )

@@ -64,7 +64,7 @@ def mine(
         raise quality.InvariantError("; ".join(found))
     sinks.export_corpus(result.grains, out, username, host, months)
     if replay:
-        sinks.write_replay(replay_rows(lines), out, username, host)
+        sinks.write_replay(replay_rows(lines, result.facts), out, username, host)
     written = sinks.write_index(spark, out, username, host)
     sinks.write_manifest(spark, out, username, host, source, result.stats, found, written)
     return result

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.time import ms_of
-from ledgerline.operators import quality
+from ledgerline.operators import detail, quality
 from ledgerline.operators.ordered import with_sequence
 from ledgerline.plans.fork_queries import ranked_users
 from ledgerline.plans.mine_queries import RATES
@@ -453,3 +453,53 @@ def quality_text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = mined(spark, sf_dir)
     found = quality.problems(good).agg(F.coalesce(F.min("problem"), F.lit("none")).alias("verdict"))
     return quality.side_by_side([found, good["turns"].agg(F.count(F.lit(1)).alias("turns"))])
+
+
+@query(
+    "session_drilldown",
+    f"""WITH {TEXT_SQL}
+    SELECT owner AS "sessionId", ms AS ts, CAST(k * pow(2.0, -20) + CASE WHEN body = 'ledger' THEN k * pow(2.0, -19) ELSE 0 END AS DOUBLE) AS "costInput",
+           CAST(CASE WHEN body = 'ledger' THEN k * pow(2.0, -17) + 3 * pow(2.0, -16) ELSE (k + 1) * pow(2.0, -17) END AS DOUBLE) AS "costOutput",
+           cost AS "costTotal", input AS "contextTokens", output AS "outputTokens", 'alpha' AS model, 'main' AS context, body = 'ledger' AS "hadFallback"
+    FROM turns""",
+)
+def session_drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of every session as its own page shows them."""
+    return detail.session_turns(mined(spark, sf_dir)["turns"]).select(
+        "sessionId", "ts", "costInput", "costOutput", "costTotal", "contextTokens", "outputTokens", "model", "context", "hadFallback"
+    )
+
+
+@query(
+    "mine_text_sessions",
+    f"""WITH {TEXT_SQL}, everyone AS (
+      SELECT DISTINCT letter, session, u FROM copies UNION SELECT 'z', 'z' || u, u FROM moments WHERE u % 7 = 0),
+    gaps AS (SELECT *, ms - lag(ms) OVER (PARTITION BY owner ORDER BY ms) AS dt FROM turns),
+    sums AS (
+      SELECT owner, count(*) AS n, sum(cost) AS cost, min(ms) AS first, max(ms) AS last, max(input) AS peak,
+             coalesce(sum(dt) FILTER (dt > 0 AND dt < 1800000), 0) / 1000.0 AS active FROM gaps GROUP BY 1),
+    ends AS (SELECT session, arg_max(ms, pos) AS last FROM copies GROUP BY 1),
+    compacted AS (SELECT owner, count(*) AS n, max(k + 1000) AS peak FROM once WHERE body = 'compaction' GROUP BY 1)
+    SELECT e.session AS "sessionId", '-w-p' || (e.u % 7) AS "projectSlug", CASE WHEN e.letter = 'z' THEN 'p' || (e.u % 7) ELSE 'p' || (e.u % 7) END AS project,
+           CASE WHEN e.letter <> 'z' THEN '/w/p' || (e.u % 7) END AS cwd, CASE WHEN e.letter = 'z' THEN 'title ' || e.u ELSE left(e.session, 8) END AS name,
+           CASE WHEN e.letter = 'z' THEN 'title ' || e.u END AS "customTitle", d.parent AS "parentSessionId",
+           coalesce(d.family, e.session) AS "lineageId", CAST(coalesce(d.depth, 0) AS BIGINT) AS depth, d.source AS "parentSource", d.kind AS "parentKind",
+           coalesce(d.ambiguous, false) AS "parentAmbiguous", CAST(coalesce(d.carried, 0) AS BIGINT) AS "nRecordsInherited", coalesce(c.n, 0) AS "nTurnsInherited",
+           coalesce(c.cost, 0) AS "inheritedCost", CASE e.letter WHEN 's' THEN a.t0 WHEN 'x' THEN a.t1 + 6000 WHEN 'z' THEN a.t0 + 1 ELSE d.created END AS "createdMs",
+           CASE WHEN e.letter = 's' THEN a.t0 WHEN e.letter = 'x' THEN a.t1 + 7000 ELSE d.own END AS "firstNativeMs", n.last AS "lastNativeMs",
+           s.first AS "firstMs", s.last AS "lastMs", CAST(coalesce((s.last - s.first) / 1000.0, 0) AS DOUBLE) AS "spanSeconds",
+           CAST(coalesce(s.active, 0) AS DOUBLE) AS "activeSeconds", coalesce(s.n, 0) AS "nTurnsNative", coalesce(s.cost, 0) AS "nativeCost",
+           coalesce(m.n, 0) AS "nCompactions", CAST(coalesce(greatest(s.peak, m.peak), 0) AS BIGINT) AS "peakContextTokens",
+           CASE WHEN s.n > 0 THEN 'alpha' ELSE '' END AS models, CASE WHEN s.n > 0 THEN '2.1.' || (e.u % 3) ELSE '' END AS "ccVersions"
+    FROM everyone e JOIN moments a USING (u) LEFT JOIN edges d ON d.child = e.session LEFT JOIN carried c ON c.session = e.session
+    LEFT JOIN sums s ON s.owner = e.session LEFT JOIN ends n ON n.session = e.session LEFT JOIN compacted m ON m.owner = e.session""",
+)
+def mine_text_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of every kind, those without a turn among them, in nearly every column."""
+    return mined(spark, sf_dir)["sessions"].select(
+        "sessionId", "projectSlug", "project", "cwd", "name", "customTitle", "parentSessionId", "lineageId", "depth",
+        "parentSource", "parentKind", "parentAmbiguous", "nRecordsInherited", "nTurnsInherited", "inheritedCost",
+        ms_of("createdTs").alias("createdMs"), ms_of("firstNativeTs").alias("firstNativeMs"), ms_of("lastNativeTs").alias("lastNativeMs"),
+        ms_of("firstTs").alias("firstMs"), ms_of("lastTs").alias("lastMs"), "spanSeconds", "activeSeconds", "nTurnsNative",
+        "nativeCost", "nCompactions", "peakContextTokens", "models", "ccVersions",
+    )
