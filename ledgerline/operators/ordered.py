@@ -48,6 +48,8 @@ def cut_in_slices(
     columns = [F.col(c) if isinstance(c, str) else c for c in [*order, _ROW]]
     place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(columns)])
     picked = rows.where(F.pmod(F.xxhash64(_ROW), F.lit(piece_rows or PIECE_ROWS)) == 0)
+    if not picked.agg(F.count(F.lit(1))).first()[0]:  # no place to cut at: every slice is one piece
+        return rows.withColumn(_SLICE, F.struct("_time", F.lit(0).alias("piece"))).drop("_time")
     cuts = picked.groupBy(*keys, "_time").agg(F.collect_set(place).alias("_cuts"))
     piece = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= place)), F.lit(0))
     return rows.join(cuts, [*keys, "_time"], "left").withColumn(_SLICE, F.struct("_time", piece.alias("piece"))).drop("_time", "_cuts")
