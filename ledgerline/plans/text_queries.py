@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.time import ms_of
-from ledgerline.operators import detail, quality
+from ledgerline.operators import detail, quality, timeline
 from ledgerline.operators.ordered import with_sequence
 from ledgerline.plans.fork_queries import ranked_users
 from ledgerline.plans.mine_queries import RATES
@@ -503,3 +503,27 @@ def mine_text_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         ms_of("firstTs").alias("firstMs"), ms_of("lastTs").alias("lastMs"), "spanSeconds", "activeSeconds", "nTurnsNative",
         "nativeCost", "nCompactions", "peakContextTokens", "models", "ccVersions",
     )
+
+
+@query(
+    "text_drawable_edges",
+    f"""WITH {TEXT_SQL}
+    SELECT child AS "childId", parent AS "parentId", coalesce(fork, own) AS "forkTs", kind, ambiguous FROM edges
+    WHERE NOT missing AND u % 7 <> 3 AND parent IN (SELECT owner FROM owners) AND child IN (SELECT owner FROM owners)""",
+)
+def text_drawable_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fork edges between what is drawn once a project is filtered out: edges to absent sessions
+    and of sessions that the filter leaves without a turn go."""
+    done = mined(spark, sf_dir)
+    spans = timeline.timeline_spans(done["turns"], F.col("projectSlug") != "-w-p3")
+    return timeline.drawable_edges(timeline.fork_times(done["forkEdges"]), spans)
+
+
+@query(
+    "text_group_rollup",
+    f"""WITH {TEXT_SQL}
+    SELECT 'p' || (u % 7) AS project, count(DISTINCT owner) AS "nSessions", CAST(0 AS BIGINT) AS "nAgents", sum(cost) AS cost FROM turns GROUP BY 1""",
+)
+def text_group_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions and cost of every project."""
+    return timeline.group_rollup(timeline.timeline_spans(mined(spark, sf_dir)["turns"]))
