@@ -9,7 +9,7 @@ a part on the right edge of the first and one on the left edge of the second, co
 the merges that use those parts up.
 
 Text is cut into pieces by the vocabulary's own pattern. Tables are loaded once per Python
-worker; encodings of recent words are kept in a table of bounded size.
+worker; encodings of recent words and of recent pieces are kept in tables of bounded size.
 
 Work is by row in Arrow batches of bounded size. Defined cases: a null or empty text has no
 ids and decodes to the empty text; texts are encoded whole; the strings of special tokens
@@ -21,7 +21,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from itertools import chain
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
@@ -37,8 +37,9 @@ from ledgerline.llm.common import map_texts
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # A space that no word follows directly, or white space of which definitions differ.
 _UNEVEN = re.compile(r" (?=\s|$)|[\x1c-\x1f]")
-#: Entries of each of the two generations of the word table.
-KEPT_WORDS = 150_000
+#: Entries of each of the two generations of a table of recent results, and the longest key.
+KEPT = 150_000
+KEPT_LENGTH = 64
 _NEVER = 1 << 60
 
 
@@ -50,6 +51,31 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(spare)) for b in range(256)]
 
 
+class Recent:
+    """Results of a function by its text, the recent ones kept in two generations."""
+
+    def __init__(self, compute: Callable[[str], bytes]):
+        self.compute = compute
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, text: str) -> bytes:
+        found = self.young.get(text)
+        if found is None:
+            found = self.old.get(text)
+            if found is None:
+                found = self.compute(text)
+            if len(self.young) >= KEPT:
+                self.old, self.young = self.young, {}
+            if len(text) <= KEPT_LENGTH:
+                self.young[text] = found
+        return found
+
+    def all(self, texts: list[str]) -> list[bytes]:
+        found = list(map(self.young.get, texts))
+        return [self(t) if x is None else x for t, x in zip(texts, found)] if None in found else found
+
+
 class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -57,7 +83,6 @@ class Bpe:
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
         vocab, merges = stored["model"]["vocab"], stored["model"]["merges"]
-        self.to_letters = {b: c for b, c in enumerate(letters)}
         self.special = {x["content"]: x["id"] for x in stored["added_tokens"]}
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.bytes_of = [b""] * size
@@ -76,9 +101,11 @@ class Bpe:
                 self.made[c], self.parts[c] = rank, (a, b)
         self.automaton = ahocorasick.Automaton()
         special_ids = set(self.special.values())
+        # Bytes are written as the characters of the same number, so ASCII pieces are as they are.
         for token, i in vocab.items():
             if i not in special_ids and (len(token) == 1 or i in self.parts):
-                self.automaton.add_word(token, i)
+                self.automaton.add_word(self.bytes_of[i].decode("latin-1"), i)
+        self.written = [np.int32(i).tobytes() for i in range(size)]
         self.automaton.make_automaton()
         self.special_pattern = (
             re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")")
@@ -87,8 +114,9 @@ class Bpe:
         self.cutter = Tokenizer.from_file(path).pre_tokenizer
         self._pairs: dict[tuple[int, int], bool] = {}
         self._edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        self._words: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
+        self._piece = Recent(self._encode_piece)
+        self._stretch = Recent(self._encode_stretch)
+        self._after_space = Recent(lambda word: self._encode_stretch(" " + word))
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The parts along one edge of a token, with the rank at which each is used up."""
@@ -118,47 +146,49 @@ class Bpe:
             self._pairs[(a, b)] = known
         return known
 
-    def _encode_piece(self, piece: str) -> list[int]:
-        text = "".join(map(self.to_letters.__getitem__, piece.encode()))
+    def _encode_piece(self, piece: str) -> bytes:
+        """Ids of a piece, as 32-bit integers."""
+        text = piece if piece.isascii() else piece.encode().decode("latin-1")
+        # last[n]: the last token of the first n bytes; none has been found yet where it is -1.
         last = [-1] * (len(text) + 1)
-        length, compatible = self.length, self.compatible
+        length, pair, compatible = self.length, self._pairs.get, self.compatible
         for end, token in self.automaton.iter(text):
-            if last[end + 1] < 0:
-                before = end + 1 - length[token]
-                if before == 0 or (last[before] >= 0 and compatible(last[before], token)):
-                    last[end + 1] = token
+            at = end + 1
+            if last[at] < 0:
+                before = at - length[token]
+                if before == 0:
+                    last[at] = token
+                elif (a := last[before]) >= 0:
+                    known = pair((a, token))
+                    if known or (known is None and compatible(a, token)):
+                        last[at] = token
         out, at = [], len(text)
         while at:
-            out.append(last[at])
-            at -= length[last[at]]
-        return out[::-1]
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a stretch that starts and ends at piece borders, as 32-bit integers."""
-        found = self._older.get(word)
-        if found is None:
-            ids = chain.from_iterable(map(self._encode_piece, PIECES.findall(word)))
-            found = np.fromiter(ids, np.int32).tobytes()
-        if len(self._words) >= KEPT_WORDS:
-            self._older, self._words = self._words, {}
-        if len(word) <= 64:
-            self._words[word] = found
-        return found
+            token = last[at]
+            out.append(self.written[token])
+            at -= length[token]
+        out.reverse()
+        return b"".join(out)
+
+    def _encode_stretch(self, text: str) -> bytes:
+        """Ids of a stretch that starts and ends at piece borders."""
+        if (text[1:] if text[0] == " " else text).isalpha():
+            return self._encode_piece(text)
+        return b"".join(self._piece.all(PIECES.findall(text)))
 
     def _plain(self, text: str) -> list[bytes]:
         if not text:
             return []
-        if max(text) > "\u0557" and any(unicodedata.category(c) == "Cn" for c in set(text)):
+        plain = text.isascii() or max(text) <= "\u0557"
+        if not plain and any(unicodedata.category(c) == "Cn" for c in set(text)):
             # Unicode versions class such characters differently; the library's cut counts.
             pieces = [text[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(text)]
-            return [np.array(self._encode_piece(p), np.int32).tobytes() for p in pieces]
-        get, word = self._words.get, self._word
+            return self._piece.all(pieces)
         if _UNEVEN.search(text):
-            return [get(s) or word(s) for s in PIECES.findall(text)]
+            return self._piece.all(PIECES.findall(text))
         # A piece begins at every single space, so words can be looked up one by one.
         first, *rest = text.split(" ")
-        stretches = [first, *[" " + w for w in rest]]
-        return [get(s) or word(s) for s in stretches if s]
+        return [self._stretch(first) if first else b"", *self._after_space.all(rest)]
 
     def encode(self, text: str) -> np.ndarray:
         if self.special_pattern is None:
@@ -167,7 +197,7 @@ class Bpe:
             parts = []
             for piece in self.special_pattern.split(text):
                 if piece in self.special:
-                    parts.append(np.int32(self.special[piece]).tobytes())
+                    parts.append(self.written[self.special[piece]])
                 elif piece:
                     parts += self._plain(piece)
         return np.frombuffer(b"".join(parts), np.int32)
