@@ -12,8 +12,10 @@ Text is cut into pieces by the vocabulary's own pattern. Tables are loaded once
 worker; encodings of recent words and of recent pieces are kept in tables of bounded size.
 
 Work is by row in Arrow batches of bounded size. Defined cases: a null or empty text has no
-ids and decodes to the empty text; texts are encoded whole; the strings of special tokens
-in a text are encoded as those tokens, as the tokenizers library does.
+ids and decodes to the empty text; texts are encoded whole, however long; repeated rows are
+encoded alike; an empty table stays empty; columns of docs called token_ids or decoded are
+replaced; the strings of special tokens in a text are encoded as those tokens, as the
+tokenizers library does.
 """
 
 from __future__ import annotations
@@ -221,9 +223,11 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values, kind))
 
 
-def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
+def encode(
+    docs: DataFrame, vocabulary: str, text_col: str = "text", decoded: bool = False, keep_text: bool = True
+) -> DataFrame:
     """docs with token_ids, and with decoded: the text those ids decode to. vocabulary is a
-    file that every worker can read."""
+    file that every worker can read. Without keep_text the text column is left out."""
 
     def make():
         bpe = load(vocabulary)
@@ -238,4 +242,6 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", decoded: bo
         return work
 
     fields = [T.StructField("token_ids", T.ArrayType(T.IntegerType(), True))]
-    return map_texts(docs, text_col, make, fields + ([T.StructField("decoded", T.StringType())] if decoded else []))
+    if decoded:
+        fields.append(T.StructField("decoded", T.StringType()))
+    return map_texts(docs, text_col, make, fields, keep_text)

@@ -88,16 +88,20 @@ def map_texts(
     text_col: str,
     make: Callable[[], Callable[[pa.Array], dict]],
     fields: list[T.StructField],
+    keep_text: bool = True,
 ) -> DataFrame:
     """df with columns computed from a text column, Arrow batch by Arrow batch.
 
     make runs once per task and returns a function from texts (null: empty) to a dict of
-    columns. A column of df with the name of a computed one is replaced. No rows move.
+    columns. A column of df with the name of a computed one is replaced. Without keep_text the
+    text does not come back from Python. No rows move.
     """
     names = [f.name for f in fields]
     kept = [f for f in df.schema.fields if f.name not in names or f.name == text_col]
     if text_col in names:
         raise ValueError(f"{text_col} is the input")
+    sent = [f.name for f in kept]
+    kept = [f for f in kept if keep_text or f.name != text_col]
     out = T.StructType([*kept, *fields])
     keep_names = [f.name for f in kept]
 
@@ -114,7 +118,7 @@ def map_texts(
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep_names, *names])
 
-    return df.select(*[F.col(f"`{n}`") for n in keep_names]).mapInArrow(run, out)
+    return df.select(*[F.col(f"`{n}`") for n in sent]).mapInArrow(run, out)
 
 
 def hash_share(*columns: Column) -> Column:

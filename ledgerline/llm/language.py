@@ -12,8 +12,10 @@ and number at most languages x BUCKETS. Prediction is by row in Arrow batches; a
 texts advance together, one word per step, so a long text costs steps and not memory.
 
 Defined cases: a text that is null, empty or without letters is `und` with score 0 and no
-spans; equal totals go to the language first in order; with nothing to learn from every
-text is `und`; repeated rows are labelled alike.
+spans, marks alone being no letters; equal totals go to the language first in order; with
+nothing to learn from every text is `und`; repeated rows are labelled alike, and copies of a
+text are learnt from once; an empty table stays empty; columns of docs called lang_pred,
+score or lang_spans are replaced.
 """
 
 from __future__ import annotations
@@ -53,29 +55,48 @@ SCRIPT_RANGES = (
 SCRIPTS = sorted({name for _, name in SCRIPT_RANGES})
 _RANGE_STARTS = np.array([a for a, _ in SCRIPT_RANGES])
 _RANGE_SCRIPT = np.array([SCRIPTS.index(s) for _, s in SCRIPT_RANGES])
-_LETTER: list[np.ndarray] = []
+_LETTER, _MARK = 1, 2
+_KIND: list[np.ndarray] = []
 
 
-def _is_letter(points: np.ndarray) -> np.ndarray:
-    if not _LETTER:
-        table = np.array([unicodedata.category(chr(i))[0] in "LM" for i in range(1 << 16)])
-        _LETTER.append(table)
-    out = _LETTER[0][np.minimum(points, 0xFFFF)]
-    high = np.flatnonzero(points > 0xFFFF)
-    for i in high:
-        out[i] = unicodedata.category(chr(points[i]))[0] in "LM"
+def _kind(point: int) -> int:
+    return {"L": _LETTER, "M": _MARK}.get(unicodedata.category(chr(point))[0], 0)
+
+
+def _kinds(points: np.ndarray) -> np.ndarray:
+    """Whether each code point is a letter, a mark or neither."""
+    if not _KIND:
+        _KIND.append(np.array([_kind(i) for i in range(1 << 16)], np.int8))
+    out = _KIND[0][np.minimum(points, 0xFFFF)]
+    for i in np.flatnonzero(points > 0xFFFF):
+        out[i] = _kind(points[i])
     return out
 
 
+def _in_word(points: np.ndarray) -> np.ndarray:
+    """Which code points belong to words: letters, and marks that follow a letter or another
+    such mark. Marks elsewhere, as on emoji or key caps, make no word."""
+    kind = _kinds(points)
+    inside = kind == _LETTER
+    marks = np.flatnonzero(kind == _MARK)
+    if len(marks):
+        # Of each run of marks, the place before its first one decides for all.
+        first = np.concatenate([[True], np.diff(marks) > 1])
+        before = marks[first] - 1
+        decided = (before >= 0) & inside[before]
+        inside[marks] = decided[np.cumsum(first) - 1]
+    return inside
+
+
 class Words:
-    """The words (letter runs) of a batch of texts with their hashed n-grams."""
+    """The words (runs of letters and their marks) of a batch of texts with their hashed n-grams."""
 
     def __init__(self, texts: list[str]):
         lowered = [t.lower() for t in texts]
         # One more character after each text, so that no word or n-gram spans two texts.
         points = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le"), np.uint32)
         bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in lowered])])
-        letter = _is_letter(points)
+        letter = _in_word(points)
         edge = np.zeros(len(points), bool)
         edge[1:] = letter[:-1]
         self.starts = np.flatnonzero(letter & ~edge)
@@ -127,7 +148,9 @@ def train(
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where(
         "text is not null and lang is not null"
     )
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("copy", F.xxhash64("text"))
+    texts = rows.select("lang", "copy").distinct()  # copies would all be in the sample, or none
+    totals = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(totals)
     if not languages:
         return Model([], np.zeros((buckets, 0)), np.zeros((len(SCRIPTS), 0), bool), buckets)
@@ -163,7 +186,7 @@ def train(
                 )
 
     counted = (
-        rows.where(chosen).select("text", number.alias("lang"))
+        rows.where(chosen).dropDuplicates(["lang", "copy"]).select("text", number.alias("lang"))
         .mapInArrow(count, "kind string, lang int, at int, n long")
         .groupBy("kind", "lang", "at").agg(F.sum("n").alias("n"))
     )
@@ -234,9 +257,16 @@ _SPAN = T.ArrayType(
 )
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", switch: float = SWITCH, spans: bool = True) -> DataFrame:
+def predict(
+    docs: DataFrame,
+    model: Model,
+    text_col: str = "text",
+    switch: float = SWITCH,
+    spans: bool = True,
+    keep_text: bool = True,
+) -> DataFrame:
     """docs with lang_pred, score (share of the letters that carry the label) and
-    lang_spans (runs of words)."""
+    lang_spans (runs of words). Without keep_text the text column is left out."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x languages numbers
 
     def make():
@@ -275,7 +305,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", switch: float
         return work
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return map_texts(docs, text_col, make, fields + ([T.StructField("lang_spans", _SPAN)] if spans else []))
+    if spans:
+        fields.append(T.StructField("lang_spans", _SPAN))
+    return map_texts(docs, text_col, make, fields, keep_text)
 
 
 def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -150,7 +150,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = language.held_out(F.col("doc_id"), 3, 1)
     model = language.train(docs.where(~held))
-    found = language.predict(docs.select("doc_id", "text"), model, spans=False)
+    found = language.predict(docs.select("doc_id", "text"), model, spans=False, keep_text=False)
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
@@ -178,7 +178,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe_dp.encode(docs, BYTE_BPE, decoded=True)
+    coded = bpe_dp.encode(docs, BYTE_BPE, decoded=True, keep_text=False)
     ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
     return coded.select(
         "doc_id",
