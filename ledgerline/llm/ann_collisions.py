@@ -13,8 +13,10 @@ are spread. Blocks keep their K best; the best of those are the result.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components,
 and rows with a null id, take no part; vectors of another length than the query's are no
-candidates; a row with the query's id is the query itself; of rows with one id the
-smallest vector counts; equal scores go to the smaller id; an empty table gives no rows.
+candidates. Rows that share an id and differ in the vector are rows of their own, as
+candidates and as queries (each has ranks from 1). Rows equal in both are the same query,
+answered once, and no candidates of it; for other queries each of them is a candidate. Equal
+scores go to the smaller id; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -54,9 +56,9 @@ class Block:
     """Sorted projections of a block of vectors. The arrays of all directions lie one after
     another, kept apart by a shift, so that one search finds a window's ends in all."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.ids, self.vectors, self.copies = ids[order], vectors[order], copies[order]
         self.unit = _unit(self.vectors)
         projected = self.unit @ directions(vectors.shape[1])
         self.reach = 2 * float(np.abs(projected).max()) + 1
@@ -87,13 +89,16 @@ class Block:
             radius *= WIDEN
 
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple]:
+        """Of each query: its place, and id, score and number of rows of those found."""
         unit = _unit(queries)
         projected = unit @ directions(queries.shape[1])
+        # One of the vectors may be the query itself.
         wanted = min(len(self.ids), max(k + 1, int(np.ceil(SHARE * len(self.ids)))))
         rows = []
         for q in range(len(query_ids)):
             at = self.candidates(projected[q], wanted)
-            at = at[self.ids[at] != query_ids[q]]
+            same = np.flatnonzero(self.ids[at] == query_ids[q])
+            at = np.delete(at, same[(self.vectors[at[same]] == queries[q]).all(axis=1)])
             if not len(at):
                 continue
             # Unit vectors tell which can be among the best; those are verified as stored.
@@ -102,7 +107,7 @@ class Block:
                 at = at[rough >= np.partition(rough, len(at) - k)[len(at) - k] - 1e-9]
             score = cosine(self.vectors[at], queries[q])
             best = np.lexsort((self.ids[at], -score))[:k]
-            rows += [(int(query_ids[q]), int(self.ids[at[i]]), float(score[i])) for i in best]
+            rows += [(q, int(self.ids[at[i]]), float(score[i]), min(int(self.copies[at[i]]), k)) for i in best]
         return rows
 
 
@@ -129,37 +134,42 @@ def search(
         return (
             df.select(F.col(f"`{id_col}`").cast("long").alias(name), vector.alias("v"))
             .where(F.col(name).isNotNull() & usable(F.col("v")))
-            .groupBy(name)
-            .agg(F.min("v").alias("v"))
+            .groupBy(name, "v")
+            .agg(F.count("*").alias("copies"))
+            .withColumn("row", F.xxhash64("v"))
         )
 
     n_rows, n_queries = rows.count(), queries.count()
     blocks, groups = n_rows // BLOCK + 1, n_queries // QUERIES + 1
     # A block is also cut by dimension, so that its vectors form a matrix.
     base = clean(rows, "vec_id").select(
-        "vec_id", "v", F.size("v").alias("dim"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"),
+        "vec_id", "v", "copies", F.size("v").alias("dim"),
+        F.pmod(F.xxhash64("vec_id", "row"), F.lit(blocks)).alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"),
     )
     asked = clean(queries, "query_id").select(
-        "query_id", "v", F.size("v").alias("dim"),
+        "query_id", "row", "v", F.size("v").alias("dim"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
-        F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("part"),
+        F.pmod(F.xxhash64("query_id", "row"), F.lit(groups)).cast("int").alias("part"),
     )
     keys = ["dim", "block", "part"]
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
-            block = Block(left["vec_id"].to_numpy(), np.stack(left["v"].to_numpy()))
-            right = right.sort_values("query_id")
+            block = Block(left["vec_id"].to_numpy(), np.stack(left["v"].to_numpy()), left["copies"].to_numpy())
+            right = right.sort_values(["query_id", "row"])
             found = block.nearest(right["query_id"].to_numpy(), np.stack(right["v"].to_numpy()), k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+        out = pd.DataFrame(found, columns=["at", "vec_id", "score", "found"])
+        asked_by = right.iloc[out["at"].to_numpy(dtype=np.int64)]
+        return out.assign(**{c: asked_by[c].to_numpy() for c in ("query_id", "row")}).drop(columns="at")
 
     near = base.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(
-        meet, "query_id long, vec_id long, score double"
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score"
+        meet, "query_id long, row long, vec_id long, score double, found long"
     )
+    # Equal rows take as many ranks as there are; the best k entries hold the best k rows.
+    order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
+    best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+    best = best.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "found")))
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")

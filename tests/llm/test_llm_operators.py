@@ -185,12 +185,27 @@ def test_language(spark, docs, empty):
     assert [s["n_words"] for s in got[1]["lang_spans"]] == [60, 90, 2]
     assert (got[1]["lang_pred"], got[2]["lang_pred"], got[3]["lang_pred"], got[4]["lang_pred"]) == ("yy", "und", "und", "zz")
     assert got[2]["score"] == 0 and got[5]["lang_pred"] in sets
+    # Marks are no letters, wherever they stand; after a letter they continue its word.
+    odd = [(1, "\u2764\ufe0f 12"), (2, "1\ufe0f\u20e3 2\ufe0f\u20e3"), (3, "\u0301 \u0301\u0301"), (4, "be\u0301\u0302do \u0301ge"), (5, "x" * 300_000)]
+    marks = {r["doc_id"]: r for r in language.predict(spark.createDataFrame(odd, "doc_id long, text string"), model, keep_text=False).collect()}
+    assert [marks[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and marks[4]["lang_pred"] != "und" != marks[5]["lang_pred"]
+    assert sum(s["n_words"] for s in marks[4]["lang_spans"]) == 2 and "text" not in marks[4]
+    letters = {r["doc_id"]: r["has_letters"] for r in language.with_letters(spark.createDataFrame(odd, "doc_id long, text string")).collect()}
+    assert letters == {1: False, 2: False, 3: False, 4: True, 5: True}
     assert language.predict(empty, model).count() == 0
     nothing = language.train(empty)
     assert {r["lang_pred"] for r in language.predict(docs, nothing).collect()} == {"und"}
     assert language.predict(docs, model).count() == docs.count()
 
 
+def test_copies_do_not_crowd_out_a_language(spark):
+    """A bound on texts counts different texts, so copies neither fill nor empty a sample."""
+    table = spark.createDataFrame([("bado gelu rima", "xx")] * 300 + [(f"schrk pfont {'z' * i}", "yy") for i in range(1, 40)], "text string, lang string")
+    model = language.train(table, per_language=20)
+    df = spark.createDataFrame([(1, "gelu bado"), (2, "pfont schrk")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.predict(df, model).collect()} == {1: "xx", 2: "yy"}
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     scores, bounds = rng.normal(size=(7, 3)) * 3, np.array([0, 0, 5, 7])
@@ -220,6 +235,68 @@ def test_quality(spark, docs, empty):
     assert quality_pu.train(empty, labels).prior == 0.5
 
 
+def test_risk_and_prior_by_plain_loops():
+    """Weights of the non-negative risk and the estimated prior against loops over 50 rows."""
+    rng = np.random.default_rng(5)
+    p, u = rng.normal(0.7, 1, (50, 3)), rng.normal(-0.3, 1, (50, 3))
+    p[:, 2] = u[:, 2] = 1  # the constant
+
+    def dot(x, w):
+        return sum(a * b for a, b in zip(x, w))
+
+    def sigmoid(z):
+        return 1 / (1 + math.exp(-z))
+
+    def mean_gradient(rows, w, sign):
+        # Of the mean of log(1 + exp(sign * x.w)).
+        return [sum(sign * x[j] * sigmoid(sign * dot(x, w)) for x in rows) / len(rows) for j in range(3)]
+
+    def risk(rows, w):
+        return sum(math.log1p(math.exp(dot(x, w))) for x in rows) / len(rows)
+
+    def descend(gradient, steps):
+        w, m, v = [0.0] * 3, [0.0] * 3, [0.0] * 3
+        for i in range(1, steps + 1):
+            g = gradient(w)
+            for j in range(3):
+                m[j], v[j] = 0.9 * m[j] + 0.1 * g[j], 0.999 * v[j] + 0.001 * g[j] ** 2
+                w[j] -= 0.05 * (1 - 0.9 * i / steps) * (m[j] / (1 - 0.9**i)) / (math.sqrt(v[j] / (1 - 0.999**i)) + 1e-8)
+        return w
+
+    turned = []
+
+    def nonnegative(prior):
+        def gradient(w):
+            plus, minus, unlabelled = mean_gradient(p, w, -1), mean_gradient(p, w, 1), mean_gradient(u, w, 1)
+            below = risk(u, w) - prior * risk(p, w) < 0
+            turned.append(below)
+            if below:
+                g = [prior * a - b for a, b in zip(minus, unlabelled)]
+            else:
+                g = [prior * a + b - prior * c for a, b, c in zip(plus, unlabelled, minus)]
+            return [a + 1e-3 * (b if j < 2 else 0) for j, (a, b) in enumerate(zip(g, w))]
+
+        return gradient
+
+    for prior in (0.3, 0.95):  # the second makes the negative part fall below zero
+        assert quality_pu.fit_nnpu(p, u, prior, steps=60) == pytest.approx(descend(nonnegative(prior), 60), rel=1e-6, abs=1e-8)
+    assert any(turned) and not all(turned)
+
+    def helper(w):
+        g = [a + b for a, b in zip(mean_gradient(p[:25], w, -1), mean_gradient(u[:25], w, 1))]
+        return [a + 1e-3 * (b if j < 2 else 0) for j, (a, b) in enumerate(zip(g, w))]
+
+    w = descend(helper, 60)
+    sp, su = sorted(dot(x, w) for x in p[25:]), sorted(dot(x, w) for x in u[25:])
+    error = math.sqrt(math.log(40) / 2) * (2 / math.sqrt(25))
+    best = None
+    for cut in np.quantile(sp, np.linspace(0, 0.95, 96)):
+        tp, tu = sum(x >= cut for x in sp) / 25, sum(x >= cut for x in su) / 25
+        if best is None or (tu + error) / tp < best[0]:
+            best = (tu + error) / tp, tu / tp
+    assert quality_pu.estimate_prior(p, u, steps=60) == pytest.approx(min(max(best[1], 0.01), 0.99), abs=1e-9)
+
+
 def test_bpe(spark, docs, empty):
     library = Tokenizer.from_file(BYTE_BPE)
     rng = random.Random(7)
@@ -432,3 +509,23 @@ def test_ann(spark):
     assert ann_collisions.search(df.where("false"), df.where("false")).count() == 0
 
 
+def test_ann_with_repeated_ids(spark):
+    """Rows that share an id are rows of their own, as candidates and as queries."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(80, 8))
+    data = [(i % 30, [float(x) for x in row]) for i, row in enumerate(v)]
+    data += [data[0]] * 3 + [data[7]] * 2  # equal rows too
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("rank", F.lit("other"))
+    got = sorted((r["query_id"], r["rank"], round(r["score"], 9), r["vec_id"]) for r in
+                 ann_collisions.search(df, df.where("vec_id % 10 = 0")).collect())
+    want = []
+    for query, vector in data[:80]:  # equal rows are one query
+        if query % 10 == 0:
+            q = np.array(vector)
+            score = [(float(-(q @ x) / np.linalg.norm(q) / np.linalg.norm(x)), i) for i, x in
+                     ((i, np.array(x)) for i, x in data if (i, x) != (query, vector))]
+            best = sorted((round(s, 12), i) for s, i in score)[:5]
+            want += [(query, rank, round(-s, 9), i) for rank, (s, i) in enumerate(best, 1)]
+    assert len(got) == len(want) and sum(g == w for g, w in zip(got, sorted(want))) >= 0.9 * len(want)
+
+
