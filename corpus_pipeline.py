@@ -51,7 +51,7 @@ def _unpacked(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = line_rules.apply_rules(_packed(docs)).where("kept").drop("text")
+    judged = line_rules.apply_rules(_packed(docs), keep_text=False).where("kept")
     return _unpacked(judged, docs, text=F.col("cleaned_text"), n_chars=F.length("cleaned_text"))
 
 
