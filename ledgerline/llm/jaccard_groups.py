@@ -458,15 +458,18 @@ def keep_one(
     percent: int = 85,
 ) -> DataFrame:
     """The rows of docs without near copies: of each component the row with the smallest id
-    (rows without an id come last). Rows without words all stay."""
+    (rows without an id come last), one row where several share that id. Rows without words all
+    stay. Further columns are carried along whatever their names."""
     found = join(docs, id_col, text_col, words, percent)
     first = (
         found.where("cls is not null").groupBy("root")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "cls")).alias("f"))
         .select("f.cls", F.col("f.doc_id").alias("id"))
     )
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    shaped = docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text"))
+    # The text is handed on once, beside the rest of the row.
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    own_id = F.col(f"`{id_col}`").cast("long")
+    shaped = docs.select(F.struct(*rest).alias("row"), F.col(f"`{text_col}`").alias("text"), own_id.alias("id"))
 
     def make():
         def classes(texts: pa.Array) -> dict:
@@ -475,10 +478,13 @@ def keep_one(
 
         return classes
 
-    classed = map_texts(shaped, "text", make, [T.StructField("cls", T.LongType())]).drop("text")
-    rows = classed.withColumn("id", F.col("row")[id_col].cast("long"))
-    hits = rows.alias("r").join(first.alias("f"), F.expr("r.cls = f.cls and r.id <=> f.id")).select("r.row", "r.cls", "r.id")
-    once = Window.partitionBy("cls", "id").orderBy(F.lit(1))
-    kept = hits.withColumn("again", F.row_number().over(once)).where("again = 1").select("row")
-    whole = kept.union(rows.where("cls is null").select("row"))
-    return whole.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    rows = map_texts(shaped, "text", make, [T.StructField("cls", T.LongType())])
+    hits = rows.alias("r").join(first.alias("f"), F.expr("r.cls = f.cls and r.id <=> f.id")).select("r.*")
+    # Rows alike in id and shingles may differ in text; a task that runs again keeps the same one.
+    order = [F.xxhash64("text"), F.xxhash64(F.to_json("row"))]
+    once = Window.partitionBy("cls", "id").orderBy(*order)
+    kept = hits.withColumn("again", F.row_number().over(once)).where("again = 1").select("row", "text")
+    whole = kept.union(rows.where("cls is null").select("row", "text"))
+    return whole.select(
+        *[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    )

@@ -148,8 +148,9 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def apply_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the base counts, base_failed, cleaned_text, kept_chars and kept."""
+def apply_rules(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs with the base counts, base_failed, cleaned_text, kept_chars and kept. Without
+    keep_text the text column is left out."""
 
     def make():
         def work(texts: pa.Array) -> dict:
@@ -174,4 +175,4 @@ def apply_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
         T.StructField("kept_chars", T.LongType()),
         T.StructField("kept", T.BooleanType()),
     ]
-    return map_texts(docs, text_col, make, fields)
+    return map_texts(docs, text_col, make, fields, keep_text)
