@@ -410,6 +410,20 @@ def test_jaccard_of_loose_families(spark, words, percent):
     assert 4 < len({r[2] for r in want}) < len(rows)
 
 
+def test_keep_one_row_of_each_component(spark):
+    """Ties of an id go to one row, the same whatever the order of rows; names may clash."""
+    base, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(40))
+    rows = [(3, base, "a", 1), (1, base.upper(), "b", 2), (1, base, "c", 3), (1, base, "c", 3), (None, base, "d", 4),
+            (9, other, "e", 5), (None, None, "f", 6), (None, "", "g", 7)]
+    kept = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, row string, id int").withColumn("cls", F.lit("x"))
+        got = jaccard_groups.keep_one(df, words=5, percent=80)
+        assert got.dtypes == df.dtypes
+        kept.append(sorted((r["doc_id"] or 0, r["text"] or "", r["row"], r["id"], r["cls"]) for r in got.collect()))
+    assert kept[0] == kept[1] and [r[0] for r in kept[0]] == [0, 0, 1, 9]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(50, 51), (52, 51), (60, 60)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
