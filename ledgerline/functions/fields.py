@@ -5,11 +5,16 @@ Missing or malformed parts give NULL, 0 or an empty array; nothing fails a job.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerline.functions import variant as V
 
+#: How the text at a path is read: ``V.text``, or ``V.told`` of paths that were laid out before.
+Text = Callable[..., Column]
+
 # Models that are placeholders and never billed.
 UNPRICED_MODELS = ("<synthetic>",)
 
@@ -72,32 +77,32 @@ MCP_TOOL = r"^mcp__(.+?)__"
 # --- identity ---------------------------------------------------------------
 
 
-def record_type(v: Column) -> Column:
-    return F.coalesce(V.text(v, "$.type"), F.lit("<missing>"))
+def record_type(v: Column, text: Text = V.text) -> Column:
+    return F.coalesce(text(v, "$.type"), F.lit("<missing>"))
 
 
 def is_sidechain(v: Column) -> Column:
     return V.is_true(v, "$.isSidechain")
 
 
-def message_id(v: Column) -> Column:
+def message_id(v: Column, text: Text = V.text) -> Column:
     """The id of the billed response; NULL when absent or empty."""
-    return V.named(v, "$.message.id")
+    return V.named(v, "$.message.id", text)
 
 
 def origin_session(v: Column) -> Column:
     return F.coalesce(V.text(v, "$.session_id"), V.text(v, "$.sessionId"))
 
 
-def is_inherited(v: Column) -> Column:
+def is_inherited(v: Column, text: Text = V.text) -> Column:
     """The record names a session other than the one holding it. A link, not proof of a copy."""
-    origin, holder = V.named(v, "$.session_id"), V.named(v, "$.sessionId")
+    origin, holder = V.named(v, "$.session_id", text), V.named(v, "$.sessionId", text)
     return F.coalesce(origin != holder, F.lit(False))
 
 
-def timestamp_ms(v: Column) -> Column:
+def timestamp_ms(v: Column, text: Text = V.text) -> Column:
     """Epoch milliseconds of an ISO timestamp; NULL when unknown."""
-    moment = F.try_to_timestamp(V.text(v, "$.timestamp"))
+    moment = F.try_to_timestamp(text(v, "$.timestamp"))
     return F.nullif(F.unix_millis(moment), F.lit(0).cast("long"))
 
 
@@ -126,15 +131,15 @@ def agent_name_kind(agent_id: Column, agent_type: Column) -> Column:
     )
 
 
-def explicit_name(v: Column) -> Column:
-    kind = record_type(v)
-    return F.when(kind == "custom-title", V.named(v, "$.customTitle")).when(
-        kind == "agent-name", V.named(v, "$.agentName")
+def explicit_name(v: Column, text: Text = V.text) -> Column:
+    kind = record_type(v, text)
+    return F.when(kind == "custom-title", V.named(v, "$.customTitle", text)).when(
+        kind == "agent-name", V.named(v, "$.agentName", text)
     )
 
 
-def ai_name(v: Column) -> Column:
-    return F.when(record_type(v) == "ai-title", V.named(v, "$.aiTitle"))
+def ai_name(v: Column, text: Text = V.text) -> Column:
+    return F.when(record_type(v, text) == "ai-title", V.named(v, "$.aiTitle", text))
 
 
 def project_label(slug: Column, cwd: Column) -> Column:
@@ -376,16 +381,16 @@ def compaction(v: Column) -> Column:
     )
 
 
-def fallback_event(v: Column) -> Column:
-    before, after = V.text(v, "$.originalModel"), V.text(v, "$.fallbackModel")
-    named = V.named(v, "$.originalModel").isNotNull() | V.named(v, "$.fallbackModel").isNotNull()
+def fallback_event(v: Column, text: Text = V.text) -> Column:
+    before, after = text(v, "$.originalModel"), text(v, "$.fallbackModel")
+    named = V.named(v, "$.originalModel", text).isNotNull() | V.named(v, "$.fallbackModel", text).isNotNull()
     return F.when(named, F.struct(before.alias("from"), after.alias("to")))
 
 
-def fork_context(v: Column) -> Column:
+def fork_context(v: Column, text: Text = V.text) -> Column:
     """How an agent declares the context it inherited from its launcher."""
     return F.when(
-        record_type(v) == "fork-context-ref",
+        record_type(v, text) == "fork-context-ref",
         F.struct(
             V.text(v, "$.agentId").alias("agentId"),
             V.text(v, "$.parentSessionId").alias("parentSessionId"),

@@ -7,9 +7,14 @@ read by what they hold, so each accessor checks the stored type first and gives
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Whatever numbers, booleans, lists and objects look like once converted to text.
+_MAYBE_NO_TEXT = r"^[-0-9][-+.0-9eE]*$|^(true|false)$|^[\[{]"
+
 
 def _type(v: Column, path: str) -> Column:
     return F.schema_of_variant(v if path == "$" else F.try_variant_get(v, path, "variant"))
@@ -25,7 +30,37 @@ def text(v: Column, path: str = "$") -> Column:
     return F.when(_type(v, path) == "STRING", F.try_variant_get(v, path, "string"))
 
 
-def named(v: Column, path: str = "$") -> Column:
+def texts(v: Column, paths: Iterable[str]) -> Column:
+    """Whatever stands at the paths (``a.b``, without the ``$``), converted freely to text: a
+    struct that is laid out in one walk over the object. Select it, then read it with ``told``."""
+    tree: dict = {}
+    for path in paths:
+        *above, leaf = path.split(".")
+        level = tree
+        for step in above:
+            level = level.setdefault(step, {})
+        level[leaf] = None
+
+    def shape(level: dict) -> str:
+        return "struct<" + ", ".join(f"{k} {'string' if sub is None else shape(sub)}" for k, sub in level.items()) + ">"
+
+    return F.try_variant_get(v, "$", shape(tree))
+
+
+def told(laid_out: Column) -> Callable[..., Column]:
+    """``text`` for the paths of ``texts``. The stored type is looked up only where the converted
+    text could be that of a number, a boolean, a list or an object."""
+
+    def read(v: Column, path: str) -> Column:
+        freely = laid_out
+        for step in path.removeprefix("$.").split("."):
+            freely = freely[step]
+        return F.when(freely.rlike(_MAYBE_NO_TEXT), F.when(_type(v, path) == "STRING", freely)).otherwise(freely)
+
+    return read
+
+
+def named(v: Column, path: str = "$", text: Callable[..., Column] = text) -> Column:
     """Text that is not empty."""
     return F.nullif(text(v, path), F.lit(""))
 

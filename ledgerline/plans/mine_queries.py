@@ -19,10 +19,15 @@ from ledgerline.operators import quality
 from ledgerline.plans.normalize import Normalized, normalize
 from ledgerline.plans.registry import query, table
 from ledgerline.plans.replay_grain import replay_rows
+from ledgerline.session import settings
 from ledgerline.sources.prices import prices_from_json
 from ledgerline.sources.scratch import materialize
 from ledgerline.sources.transcripts import FILE_COLUMNS, classify
 
+#: Lines per stored file of text, at most on average; and files, and tasks that parse them, per core.
+LINES_PER_FILE = 1 << 17
+TASKS_PER_CORE = 4
+
 RATES = {
     "alpha": {
         "input_cost_per_token": 2.0**-20,
@@ -74,6 +79,15 @@ LINES_SQL = """
       FROM priced)"""
 
 
+def _parse_tasks(spark: SparkSession) -> int:
+    return TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+
+
+def parse_settings(spark: SparkSession) -> dict[str, str]:
+    """Several parsing tasks a core, however small the stored text is."""
+    return {"spark.sql.files.minPartitionNum": str(_parse_tasks(spark)), "spark.sql.files.openCostInBytes": "65536"}
+
+
 def event_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(lines, files) as the transcript reader delivers them."""
     e, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
@@ -138,15 +152,18 @@ def event_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
             ),
         ),
     )
-    raw = table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events")
+    raw = events.select(
         F.to_json(record).alias("value"),
         path.alias("path"),
         F.floor(e / 65_536).alias("splitStart"),
         e.alias("lineIdx"),
         F.length("props").cast("long").alias("bytes"),
     )
-    # Stored first, as transcripts are: the normalizer reads text from files.
-    raw = materialize(raw.repartition("path"), "event-lines")
+    # Stored first, as transcripts are: the normalizer reads text from files. Parsing is far dearer
+    # than reading, so the files are many and small, and no core waits for another's last task.
+    pieces = max(_parse_tasks(spark), -(-events.count() // LINES_PER_FILE))
+    raw = materialize(raw.repartition(pieces, "path"), "event-lines")
     lines = classify(raw, ["/t"])
     files = classify(raw.groupBy("path").agg(F.sum("bytes").alias("bytes")), ["/t"]).select(*FILE_COLUMNS)
     return lines, files
@@ -160,7 +177,10 @@ def normalized(spark: SparkSession, sf_dir: str) -> Normalized:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _DONE:
         lines, files = event_lines(spark, sf_dir)
-        _DONE[key] = normalize(lines, files, prices_from_json(spark, json.dumps(RATES), "v1"))
+        result = normalize(lines, files, prices_from_json(spark, json.dumps(RATES), "v1"))
+        with settings(spark, parse_settings(spark)):
+            result.facts.isEmpty()
+        _DONE[key] = result
     return _DONE[key]
 
 

@@ -52,6 +52,14 @@ TURN_TEXT = {
 }
 
 
+# The texts that ``record_facts`` reads from every record.
+RECORD_TEXTS = (
+    "type", "uuid", "session_id", "sessionId", "timestamp", "agentId", "message.id", "message.model", "requestId",
+    "slug", *TURN_TEXT.values(), "apiRefusalCategory", "originalModel", "fallbackModel", "customTitle", "agentName",
+    "aiTitle",
+)
+
+
 class Grains(Mapping):
     """The grains by name, each conformed to its contract when it is taken."""
 
@@ -109,13 +117,15 @@ def record_facts(records: DataFrame) -> DataFrame:
     kept = [
         *ORDER, "projectSlug", "fileSessionId", "fileKind", "fileAgentId", "workflowId", "bad",
     ]
-    # Paths several columns read are walked once, here.
-    opened = records.select(
+    # Paths several columns read are walked once, here, and so is the record for its texts.
+    said = V.told(F.col("_texts"))
+    opened = records.select(*kept, "rec", V.texts(raw, RECORD_TEXTS).alias("_texts")).select(
         *kept,
         "rec",
-        R.record_type(raw).alias("type"),
+        "_texts",
+        R.record_type(raw, said).alias("type"),
         R.content_blocks(raw).alias("_blocks"),
-        V.text(raw, "$.message.model").alias("modelName"),
+        said(raw, "$.message.model").alias("modelName"),
         *[c.alias(name) for name, c in R.usage_parts(raw).items()],
         *[c.alias(name) for name, c in R.outcome_parts(raw).items()],
     )
@@ -126,16 +136,16 @@ def record_facts(records: DataFrame) -> DataFrame:
         *kept,
         "type",
         "modelName",
-        V.text(v, "$.uuid").alias("uuid"),
-        V.text(v, "$.session_id").alias("originSession"),
-        R.is_inherited(v).alias("inherited"),
-        R.timestamp_ms(v).alias("ts"),
+        said(v, "$.uuid").alias("uuid"),
+        said(v, "$.session_id").alias("originSession"),
+        R.is_inherited(v, said).alias("inherited"),
+        R.timestamp_ms(v, said).alias("ts"),
         R.is_sidechain(v).alias("sidechain"),
-        V.text(v, "$.agentId").alias("agentId"),
-        F.when(assistant, R.message_id(v)).alias("messageId"),
-        V.text(v, "$.requestId").alias("requestId"),
-        V.text(v, "$.slug").alias("slug"),
-        *[V.text(v, f"$.{path}").alias(name) for name, path in TURN_TEXT.items()],
+        said(v, "$.agentId").alias("agentId"),
+        F.when(assistant, R.message_id(v, said)).alias("messageId"),
+        said(v, "$.requestId").alias("requestId"),
+        said(v, "$.slug").alias("slug"),
+        *[said(v, f"$.{path}").alias(name) for name, path in TURN_TEXT.items()],
         R.is_wasted(v).alias("aborted"),
         F.when(
             assistant, R.billable_units(F.col("_usage"), F.col("_usageFields"), F.col("modelName"))
@@ -146,11 +156,11 @@ def record_facts(records: DataFrame) -> DataFrame:
         F.when(user, R.tool_result_ids(blocks)).alias("toolResults"),
         R.tool_outcome(F.col("_result"), F.col("_resultFields")).alias("outcome"),
         R.compaction(v).alias("compaction"),
-        R.fallback_event(v).alias("fallback"),
-        V.text(v, "$.apiRefusalCategory").alias("refusal"),
-        R.fork_context(v).alias("forkContext"),
-        R.explicit_name(v).alias("explicit"),
-        R.ai_name(v).alias("ai"),
+        R.fallback_event(v, said).alias("fallback"),
+        said(v, "$.apiRefusalCategory").alias("refusal"),
+        R.fork_context(v, said).alias("forkContext"),
+        R.explicit_name(v, said).alias("explicit"),
+        R.ai_name(v, said).alias("ai"),
         I.image_refs(v, blocks).alias("images"),
     )
     # A record without uuid counts as its own member of a response.

@@ -32,7 +32,7 @@ from ledgerline.plans.fork_queries import ranked_users
 from ledgerline.plans.mine_queries import RATES
 from ledgerline.plans.normalize import Normalized, normalize
 from ledgerline.plans.registry import query, table
-from ledgerline.session import ensure_checkpoint_dir
+from ledgerline.session import ensure_checkpoint_dir, settings
 from ledgerline.sources.prices import prices_from_json
 from ledgerline.sources.scratch import materialize
 from ledgerline.sources.transcripts import existing_roots, read_lines, transcript_files, write_lines
@@ -259,18 +259,10 @@ def mined(spark: SparkSession, sf_dir: str) -> Normalized:
     if key not in _DONE:
         folder, created = write_transcripts(spark, sf_dir)
         files = transcript_files(spark, [folder], created)
-        result = normalize(
-            read_lines(spark, [folder], created), files, prices_from_json(spark, json.dumps(RATES), "v1")
-        )
-        small = split_settings(spark, files.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0])
-        before = {setting: spark.conf.get(setting, None) for setting in small}
-        try:
-            for setting, value in small.items():
-                spark.conf.set(setting, value)
+        # Creation times belong to files: joined to lines, they could shuffle the text.
+        result = normalize(read_lines(spark, [folder]), files, prices_from_json(spark, json.dumps(RATES), "v1"))
+        with settings(spark, split_settings(spark, files.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0])):
             result.facts.isEmpty()  # parsed and stored here, from small splits
-        finally:
-            for setting, value in before.items():
-                spark.conf.unset(setting) if value is None else spark.conf.set(setting, value)
         _DONE[key] = result
     return _DONE[key]
 
