@@ -10,6 +10,7 @@ whole.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -18,6 +19,13 @@ from ledgerline.llm.bpe_dp import byte_letters
 
 KEPT_WORDS = 300_000
 _WHOLE = re.compile("[\x1c-\x1fİ]|[^\x00-˿]|<\\|")
+_WHOLE_ASCII = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+
+
+def _goes_whole(text: str) -> bool:
+    if text.isascii():
+        return any(mark in text for mark in _WHOLE_ASCII)
+    return _WHOLE.search(text) is not None
 
 
 class WordTokens:
@@ -46,57 +54,58 @@ class WordTokens:
         out = []
         for w in words:
             if w.isalpha():
-                piece = "".join([letters[b] for b in w.encode()])
-                out.append(np.array([t.id for t in tokenize(piece)], np.uint32).tobytes())
+                # A byte's letter is itself where it is an ASCII letter.
+                piece = w if w.isascii() else "".join([letters[b] for b in w.encode()])
+                out.append(array("I", [t.id for t in tokenize(piece)]).tobytes())
             else:
                 out += self._library([w])
         return out
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32).tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def encode(self, text: str) -> np.ndarray:
-        if _WHOLE.search(text):
+        if _goes_whole(text):
             return np.frombuffer(self._library([text])[0], np.uint32)
         # The vocabulary is in lower case, so spellings share an entry.
         words = text.lower().split()
-        have = self._words
-        try:
-            return np.frombuffer(b"".join([have[w] for w in words]), np.uint32)
-        except KeyError:
-            extra = self._learn([w for w in set(words) if w not in have])
-        return np.frombuffer(b"".join([extra[w] if w in extra else have[w] for w in words]), np.uint32)
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        ids = list(map(self._words.get, words))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        if gaps:
+            extra = self._learn({words[i] for i in gaps})
+            for i in gaps:
+                ids[i] = extra[words[i]]
+        return np.frombuffer(b"".join(ids), np.uint32)
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
         """Ids of words outside the newer table; they enter it. A word's single closing mark
         is a piece of its own, so the word before it is looked up alone."""
         have, older = self._words, self._older
-        extra, unknown, closed = {}, [], []
+        extra, unknown, closed = {}, set(), []
         for w in new:
             if w in older:
                 extra[w] = older[w]
             elif w[-1] in ".,!?" and w[:-1].isalpha():
-                closed.append(w)
+                closed.append((w, w[:-1], w[-1]))
             else:
-                unknown.append(w)
-        stems = {w[:-1] for w in closed}
-        ends = {w[-1] for w in closed}
-        for part in stems | ends:
-            if part in have:
-                continue
-            if part in older:
-                extra[part] = older[part]
-            elif part not in extra:
-                unknown.append(part)
-        unknown = list(set(unknown))
+                unknown.add(w)
+        for _, *parts in closed:
+            for part in parts:
+                if part in have or part in extra:
+                    continue
+                if part in older:
+                    extra[part] = older[part]
+                else:
+                    unknown.add(part)
         if unknown:
+            unknown = list(unknown)
             extra.update(zip(unknown, self._word_ids(unknown)))
+        joined = {w: (extra[s] if s in extra else have[s]) + (extra[m] if m in extra else have[m]) for w, s, m in closed}
         if len(have) + len(extra) > KEPT_WORDS:
             self._older, self._words = have, {}
-        self._words.update((w, x) for w, x in extra.items() if len(w) <= 64)
-        known = lambda w: extra[w] if w in extra else have[w]
-        extra.update((w, known(w[:-1]) + known(w[-1])) for w in closed)
+        self._words.update([(w, x) for w, x in extra.items() if len(w) <= 64])
+        extra.update(joined)
         return extra
 
 
