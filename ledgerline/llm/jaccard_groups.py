@@ -2,26 +2,29 @@
 
 1. Equal sets form one class; all further work is on classes.
 2. Grouping: classes that share two of four min-hashes with the smallest class that has
-   them form groups with it. Then, ROUNDS times, each class is compared with the one class
-   of another group that it shares most with; if they are at least LOOSE percent alike,
-   their groups become one. Any partition gives the same links; a good one gives them sooner.
+   them form groups with it. Then, ROUNDS times, the sketch of each class (one bit a token or
+   two, the parity of the tokens that fall there) is compared with that of the one class of
+   another group that it shares most with; if they are at least LOOSE percent alike, as far as
+   sketches tell, their groups become one. Any partition gives the same links; a good one
+   gives them sooner.
 3. Token-group matrix: a set's tokens are ordered rarest first (a count sketch over all
    sets gives the order) and the first n - ceil(t n) + 1 form its prefix. Sets of
    similarity t share a prefix token, so only groups that share one with a query can hold a
    partner. The matrix has, per prefix token, the groups whose union holds it.
 4. Bound: how many prefix tokens a query shares with a group's union limits the overlap
-   with any member. A query that may reach the overlap needed opens the group and visits
-   it; groups without visitors and with one member stay closed.
-5. Inside an open group, members and visitors are written as differences from the group's
-   core, the tokens that most of (a sample of) its members hold. The distance of two sets is
+   with any member, and bits of the query's sketch that no member has limit it again. A query
+   that may reach the overlap needed opens the group and visits it; groups without visitors
+   and with one member stay closed.
+5. Few members and visitors of an open group are compared by one task. More of them are
+   written as differences from the group's core, the tokens that most of (a sample of) its members hold. The distance of two sets is
    that of their differences, so two sets near the core are linked without being compared,
    and others are linked only by tokens that both differences hold: those are counted,
    unless the tokens a set shares with any other of the group are too few for that.
 
 Steps 3 to 5 cover every pair in different groups and step 5 every pair in one, so no link
 that joins components is lost. Copies cost one row each, and texts near a core one link; no
-step emits the pairs within a group. The sketch and the filters have fixed sizes; what they
-let through is settled by exact joins.
+step emits the pairs within a group. The count sketch and the filters have fixed sizes; what
+they let through is settled by exact joins.
 
 Sets are compared by 64-bit hashes of their shingles, classes by a 64-bit hash of the set.
 
@@ -35,6 +38,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +55,7 @@ LOOSE = 60  # percent; groups of texts this much alike become one
 CORE_MEMBERS = 15  # members, on average, that a large group's core is taken from
 SKETCH = 1 << 19  # counters in each of two rows
 TOKEN_BITS, CLASS_BITS = 25, 25
+FEW_SETS, FEW_TOKENS = 64, 1 << 20  # a group of at most so many is compared by one task, pair by pair
 
 _SEEDS = mix(np.arange(1, KEYS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -99,6 +104,22 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values.view(np.int64)))
 
 
+def _sketch_bits(n: np.ndarray) -> np.ndarray:
+    """The power of two from n on, a word at least: as many bits as a set of n tokens gets."""
+    return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+
+
+def _parities(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, words per set): a set's bit tells whether an odd number of its tokens fall there.
+    Two sets differ in at least as many tokens as bits; one half XOR the other is the sketch of
+    half the size."""
+    size = _sketch_bits(n)
+    begin = np.cumsum(size) - size
+    at = np.repeat(begin, n) + (tokens & np.repeat(size - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(size.sum())) & 1).astype(bool)
+    return np.packbits(odd, bitorder="little").view(np.uint64), size // 64
+
+
 def least_overlap(n, percent: int):
     return (n * percent + 99) // 100
 
@@ -127,8 +148,8 @@ def _cells(tokens: np.ndarray):
 
 
 def _scan(rows: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Per row: id, n, cls; for the first row of a class in its task also keys, prefix and
-    the place of the prefix's last token in the order."""
+    """Per row: id, n, cls; for the first row of a class in its task also keys, prefix, the
+    place of the prefix's last token in the order, and parity, the sketch of the set."""
     usual = max(1.0, sketch[:SKETCH].mean())
     rare = np.maximum(0, np.floor(np.log2(np.maximum(sketch, 1) / usual))).astype(np.uint64)
     sent = rows.sparkSession.sparkContext.broadcast(rare.astype(np.uint8))  # 2 * SKETCH bytes
@@ -143,8 +164,8 @@ def _scan(rows: DataFrame, sketch: np.ndarray, words: int, percent: int) -> Data
                 own = np.zeros(size, bool)
                 own[new] = True
                 keys = np.zeros(size * KEYS, np.int64)
-                prefix = np.zeros(0, np.uint64)
-                kept, last = np.zeros(size, np.int64), np.zeros(size, np.int64)
+                prefix = parity = np.zeros(0, np.uint64)
+                kept, last, held = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
                 if len(new):
                     keys = sets.keys()[np.searchsorted(sets.full, new)].ravel()
                     n = sets.sizes[new]
@@ -156,6 +177,7 @@ def _scan(rows: DataFrame, sketch: np.ndarray, words: int, percent: int) -> Data
                     kept[new] = n - least_overlap(n, percent) + 1
                     last[new] = place[order][np.cumsum(n) - n + kept[new] - 1].astype(np.int64)
                     prefix = tokens[order][_ranges(np.cumsum(n) - n, kept[new])]
+                    parity, held[new] = _parities(tokens, n)
                 else:
                     keys = keys[:0]
                 yield pa.RecordBatch.from_pydict(
@@ -166,10 +188,13 @@ def _scan(rows: DataFrame, sketch: np.ndarray, words: int, percent: int) -> Data
                         "keys": _lists(keys, np.where(own, KEYS, 0)),
                         "prefix": _lists(prefix, kept),
                         "last": last,
+                        "parity": _lists(parity, held),
                     }
                 )
 
-    return rows.mapInArrow(run, "id long, n long, cls long, keys array<long>, prefix array<long>, last long")
+    return rows.mapInArrow(
+        run, "id long, n long, cls long, keys array<long>, prefix array<long>, last long, parity array<long>"
+    )
 
 
 def _pair(cls: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -201,14 +226,38 @@ def _fetch(rows: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "cls long, tokens array<long>")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose similarity is at least percent / 100."""
-    left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
+def _sketches(scan: DataFrame, needed: DataFrame) -> DataFrame:
+    """(cls, parity) of the classes in needed(cls), and of few others; a class may come back
+    several times, with the same sketch."""
+    sent = scan.sparkSession.sparkContext.broadcast(bloom_of(needed.select("cls"), CLASS_BITS).bytes)
+
+    def run(batches):
+        bloom = Bloom(CLASS_BITS, sent.value)
+        for batch in batches:
+            hit = pa.array(np.flatnonzero(bloom.has(batch.column(0).to_numpy())))
+            yield pa.RecordBatch.from_arrays([c.take(hit) for c in batch.columns], names=["cls", "parity"])
+
+    return scan.where(F.size("parity") > 0).select("cls", "parity").mapInArrow(run, "cls long, parity array<long>")
+
+
+def _halved(words: str) -> str:
+    half = f"cast(size({words}) / 2 as int)"
+    return f"zip_with(slice({words}, 1, {half}), slice({words}, {half} + 1, {half}), (x, y) -> x ^ y)"
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose similarity, as far as their sketches tell, is at least percent / 100.
+    d tokens that differ leave (1 - exp(-2 d / m)) m / 2 of m bits different, on average."""
+    left = sketches.select(F.col("cls").alias("a"), F.col("parity").alias("pa"))
+    right = sketches.select(F.col("cls").alias("b"), F.col("parity").alias("pb"))
+    apart = "aggregate(zip_with(wa, wb, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)"
+    differ = f"{100 - percent} * (na + nb) / {100 + percent}"
     return (
-        pairs.select("a", "b").join(left, "a").join(right, "b")
-        .where(100 * both >= percent * (F.size("ta") + F.size("tb") - both))
+        pairs.select("a", "b", "na", "nb").join(left, "a").join(right, "b")
+        .where("size(pa) <= 2 * size(pb) and size(pb) <= 2 * size(pa)")
+        .withColumn("wa", F.expr(f"if(size(pa) > size(pb), {_halved('pa')}, pa)"))
+        .withColumn("wb", F.expr(f"if(size(pb) > size(pa), {_halved('pb')}, pb)"))
+        .where(f"{apart} <= 32 * size(wa) * (1 - exp(-({differ}) / (32 * size(wa))))")
         .select("a", "b").distinct()
     )
 
@@ -217,8 +266,55 @@ def _near_sizes(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _prefixes_of(scan: DataFrame, groups: DataFrame, nodes: Broadcast) -> DataFrame:
+    """(cls, n, last, grp, prefix) of the classes in groups(node, root), and of few others; nodes
+    are the bits of a filter of the groups' nodes."""
+
+    def run(batches):
+        bloom = Bloom(CLASS_BITS, nodes.value)
+        for batch in batches:
+            yield batch.take(pa.array(np.flatnonzero(bloom.has(batch.column(0).to_numpy()))))
+
+    columns = scan.where(F.size("prefix") > 0).select("cls", "n", "last", "prefix")
+    return (
+        columns.mapInArrow(run, "cls long, n long, last long, prefix array<long>")
+        .join(groups.select(F.col("node").alias("cls"), F.col("root").alias("grp")), "cls", "left")
+        .select("cls", "n", "last", F.coalesce("grp", "cls").alias("grp"), "prefix")
+    )
+
+
+def _prefix_tokens(scan: DataFrame, joined: DataFrame, nodes: Broadcast, columns: list[str], wanted: DataFrame | None = None) -> DataFrame:
+    """token and columns of (cls, n, last, grp): the prefixes' tokens, or those of them in wanted and
+    few others. Most classes are groups of their own: only the others' prefixes have been joined."""
+    bits = None if wanted is None else scan.sparkSession.sparkContext.broadcast(bloom_of(wanted, TOKEN_BITS).bytes)
+
+    def tokens(alone: bool):
+        def run(batches):
+            bloom = None if bits is None else Bloom(TOKEN_BITS, bits.value)
+            known = Bloom(CLASS_BITS, nodes.value)
+            for batch in batches:
+                if alone:
+                    batch = batch.take(pa.array(np.flatnonzero(~known.has(batch.column(0).to_numpy()))))
+                lists = batch.column(1)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                if bloom is not None:
+                    hit = np.flatnonzero(bloom.has(flat))
+                    flat, row = flat[hit], row[hit]
+                at = pa.array(row)
+                rest = [batch.column(i + 2).take(at) for i in range(len(columns))]
+                yield pa.RecordBatch.from_arrays([pa.array(flat), *rest], names=["token", *columns])
+
+        return run
+
+    shape = ", ".join(f"{c} long" for c in ["token", *columns])
+    own = scan.where(F.size("prefix") > 0).select("cls", "n", "last", F.col("cls").alias("grp"), "prefix")
+    read = [F.col("cls").alias("node"), "prefix", *columns]
+    return own.select(*read).mapInArrow(tokens(True), shape).union(joined.select(*read).mapInArrow(tokens(False), shape))
+
+
 def _best_tries(postings: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b): per class at most one class of another group. Every token names one class at
+    """(a, b, na, nb): per class at most one class of another group. Every token names one class at
     random, the same for all who hold it; b is the one named by most of a's tokens."""
     named = F.struct(
         F.xxhash64("grp", F.lit(turn)).alias("h"), "grp", F.xxhash64("cls", F.lit(turn)).alias("hc"), "cls", "n"
@@ -230,7 +326,8 @@ def _best_tries(postings: DataFrame, turn: int, percent: int) -> DataFrame:
         .groupBy("cls", "n", F.col("x.cls").alias("b"), F.col("x.n").alias("nb")).agg(F.count("*").alias("shared"))
         .where(_near_sizes("n", "nb", percent))
         .where(f"shared >= {overlap} - ceil(greatest(n, nb) * {percent} / 100)")
-        .groupBy(F.col("cls").alias("a")).agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+        .groupBy(F.col("cls").alias("a"), F.col("n").alias("na"))
+        .agg(F.max(F.struct("shared", "b", "nb")).alias("x")).select("a", "x.b", "na", "x.nb")
     )
 
 
@@ -262,6 +359,40 @@ def _promising(postings: DataFrame, unions: DataFrame, percent: int) -> DataFram
     return counted.where(enough).select(F.col("cls").alias("q"), F.col("n").alias("nq"), "grp")
 
 
+def _levels(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, size, pos, word: the words of sketches as they are and at half the size, so that sets
+    of near sizes meet at one size at least."""
+    both = F.array(
+        F.struct(F.size("parity").alias("size"), F.col("parity").alias("w")),
+        F.struct(F.floor(F.size("parity") / 2).cast("int").alias("size"), F.expr(_halved("parity")).alias("w")),
+    )
+    sized = rows.select(*keys, F.inline(both)).where("size > 0")
+    return sized.select(*keys, "size", F.posexplode("w").alias("pos", "word"))
+
+
+def _near_groups(candidates: DataFrame, group_of: DataFrame, scan: DataFrame, percent: int) -> DataFrame:
+    """The candidates (q, nq, grp) whose sketch leaves room for a partner in the group.
+
+    A bit that all members of a group have alike and the query has not is a token, at least,
+    in which it differs from each of them. Members of other sizes of sketch are no partners."""
+    if percent < 50:  # partners' sketches may be more than twice as large
+        return candidates
+    members = group_of.join(candidates.select("grp").distinct(), "grp", "left_semi")
+    named = candidates.select(F.col("q").alias("cls")).union(members.select("cls")).distinct()
+    sketches = stored(_sketches(scan, named).distinct(), "sketches")
+    groups = _levels(members.join(sketches, "cls"), "grp", "n").groupBy("grp", "size", "pos").agg(
+        F.bit_and("word").alias("each"), F.bit_or("word").alias("some"), F.max("n").alias("most")
+    )
+    queries = _levels(candidates.withColumnRenamed("q", "cls").join(sketches, "cls"), "cls", "nq", "grp")
+    return (
+        queries.join(groups, ["grp", "size", "pos"])
+        .groupBy("cls", "nq", "grp", "size")
+        .agg(F.sum(F.expr("bit_count((word & ~some) | (~word & each))")).alias("apart"), F.max("most").alias("most"))
+        .where(f"{100 + percent} * apart <= {100 - percent} * (nq + least(most, nq * 100 div {percent}))")
+        .select(F.col("cls").alias("q"), "nq", "grp").distinct()
+    )
+
+
 def _needed(classes: DataFrame, *columns: DataFrame) -> DataFrame:
     """(cls, id) of the classes named by any of the one-column tables."""
     names = columns[0].toDF("cls")
@@ -278,23 +409,46 @@ def _core(sample: pa.Table) -> pa.Table:
     return pa.table({"grp": sample.column("grp").slice(0, 1), "core": _lists(most, np.array([len(most)]))})
 
 
-def _differences(present: DataFrame, sets: DataFrame) -> DataFrame:
-    """(grp, cls, n, diff) for present(grp, cls, n, own): the tokens in which a set differs
+def _differences(sets: DataFrame) -> DataFrame:
+    """(grp, cls, n, diff) for sets(grp, cls, n, own, tokens): the tokens in which a set differs
     from the core of the group it is present in."""
-    sizes = present.where("own").groupBy("grp").agg(F.count("*").alias("held"))
-    sample = (
-        present.where("own").join(sizes, "grp").where(F.pmod(F.xxhash64("cls"), "held") < CORE_MEMBERS)
-        .select("cls", "grp").join(sets, "cls").select("grp", "tokens")
-    )
+    sizes = sets.where("own").groupBy("grp").agg(F.count("*").alias("held"))
+    sample = sets.where("own").join(sizes, "grp").where(F.pmod(F.xxhash64("cls"), "held") < CORE_MEMBERS).select("grp", "tokens")
     cores = sample.groupBy("grp").applyInArrow(_core, "grp long, core array<long>")
     core = F.coalesce("core", F.array().cast("array<long>"))  # none sampled: compared as they are
-    return (
-        present.join(sets, "cls").join(cores, "grp", "left")
-        .select("grp", "cls", "n", F.concat(F.array_except("tokens", core), F.array_except(core, "tokens")).alias("diff"))
-    )
+    return sets.join(cores, "grp", "left").select(
+        "grp", "cls", "n", F.concat(F.array_except("tokens", core), F.array_except(core, "tokens")).alias("diff")
+    )
 
 
-def _links_within(present: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links_of_few(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join all that are linked in a group, for groups of so few sets and tokens
+    that one task compares the sets themselves."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        cls, at = np.unique(group.column("cls").to_numpy(), return_index=True)
+        lists = group.column("tokens").combine_chunks().take(pa.array(at))
+        bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        places = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        own = [places[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        root, held, links = list(range(len(cls))), np.zeros(len(places), bool), []
+        for i in range(len(cls)):
+            held[own[i]] = True
+            for j in range(i + 1, len(cls)):
+                n, m = sorted((len(own[i]), len(own[j])))
+                if root[i] != root[j] and 100 * n >= percent * m:
+                    both = int(held[own[j]].sum())
+                    if 100 * both >= percent * (n + m - both):
+                        links.append((cls[i], cls[j]))
+                        root = [root[i] if r == root[j] else r for r in root]
+            held[own[i]] = False
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.table({"a": a, "b": b})
+
+    return sets.groupBy("grp").applyInArrow(compare, "a long, b long")
+
+
+def _links_within(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that join all that are linked among those present in a group.
 
     With d the size of a set's difference from the core, n its own size and s the tokens two
@@ -304,7 +458,7 @@ def _links_within(present: DataFrame, sets: DataFrame, percent: int) -> DataFram
     tokens. A set cannot share more than the tokens (held) some other difference has too,
     which limits the far of its partners to reach = 2 unit held - far."""
     unit = 100 + percent
-    diffs = stored(_differences(present, sets), "differences")
+    diffs = stored(_differences(sets), "differences")
     tokens = diffs.select("grp", "cls", F.explode("diff").alias("token"))
     common = tokens.groupBy("grp", "token").agg(F.count("*").alias("held")).where("held > 1").select("grp", "token")
     met = stored(tokens.join(common, ["grp", "token"]), "differing")
@@ -368,45 +522,21 @@ def join(
     groups = components(alike)
 
     # Tokens of prefixes that several groups hold, and the queries and groups that share them.
-    grouped = (
-        scan.where(F.size("prefix") > 0).select("cls", "n", "last", "prefix")
-        .join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left")
-        .select("cls", "n", "last", F.coalesce("root", "cls").alias("grp"), "prefix")
-    )
-    prefixes = stored(grouped, "prefixes")
-    discard(scan)
-    tokens = prefixes.select(F.explode("prefix").alias("token"), "grp")
+    nodes = spark.sparkContext.broadcast(bloom_of(groups.select("node"), CLASS_BITS).bytes)  # 2^CLASS_BITS bits
+    joined = stored(_prefixes_of(scan, groups, nodes), "prefixes")
     open_tokens = stored(
-        tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token"),
+        _prefix_tokens(scan, joined, nodes, ["grp"])
+        .groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token"),
         "open-tokens",
-    )
-    bits = bloom_of(open_tokens, TOKEN_BITS).bytes
-    sent = spark.sparkContext.broadcast(bits)  # 2^TOKEN_BITS bits
-
-    def shared(batches):
-        bloom = Bloom(TOKEN_BITS, sent.value)
-        for batch in batches:
-            lists = batch.column(4)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            hit = np.flatnonzero(bloom.has(flat))
-            at = pa.array(row[hit])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[hit]), *[batch.column(i).take(at) for i in range(4)]],
-                names=["token", "cls", "n", "last", "grp"],
-            )
-
-    postings = stored(
-        prefixes.mapInArrow(shared, "token long, cls long, n long, last long, grp long").join(open_tokens, "token").distinct(),
-        "postings",
-    )
-    discard(prefixes, open_tokens)
+    )
+    held = _prefix_tokens(scan, joined, nodes, ["cls", "n", "last", "grp"], open_tokens)
+    postings = stored(held.join(open_tokens, "token").distinct(), "postings")
+    discard(joined, open_tokens)
     # Groups of loose families become one before queries meet groups.
     for turn in range(ROUNDS):
         tries = stored(_best_tries(postings, turn, percent), "tries")
-        found = stored(
-            _linked(tries, _fetch(rows, _needed(classes, tries.select("a"), tries.select("b")), words), LOOSE), "tried"
-        )
+        named = tries.select(F.col("a").alias("cls")).union(tries.select("b"))
+        found = stored(_alike(tries, _sketches(scan, named), LOOSE), "tried")
         discard(tries)
         if not found.limit(1).count():
             break
@@ -427,17 +557,21 @@ def join(
         classes.join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left")
         .select("cls", "n", F.coalesce("root", "cls").alias("grp"))
     )
-    visits = candidates.select("grp", F.col("q").alias("cls"), F.col("nq").alias("n"), F.lit(False).alias("own"))
+    near = stored(_near_groups(candidates, group_of, scan, percent), "near")
+    discard(scan)
+    visits = near.select("grp", F.col("q").alias("cls"), F.col("nq").alias("n"), F.lit(False).alias("own"))
     everyone = group_of.select("grp", "cls", "n", F.lit(True).alias("own")).union(visits)
-    opened = everyone.groupBy("grp").agg(F.count("*").alias("there")).where("there > 1").select("grp")
-    present = stored(everyone.join(opened, "grp", "left_semi"), "present")
-    discard(candidates)
+    few = F.expr(f"count(*) <= {FEW_SETS} and sum(n) <= {FEW_TOKENS}").alias("few")
+    opened = everyone.groupBy("grp").agg(F.count("*").alias("there"), few).where("there > 1").select("grp", "few")
+    present = stored(everyone.join(opened, "grp"), "present")
+    # A set may be made twice; the texts' sets are the large side and are not sorted.
     sets = stored(
-        _fetch(rows, _needed(classes, present.select("cls")), words).groupBy("cls").agg(F.first("tokens").alias("tokens")),
-        "sets",
+        _fetch(rows, _needed(classes, present.select("cls")), words).join(present.hint("shuffle_hash"), "cls"), "sets"
     )
-    links = _links_within(present, sets, percent)
-    discard(present, sets)  # what links need of them is stored
+    many = stored(sets.where("not few").groupBy("grp", "cls", "n", "own").agg(F.first("tokens").alias("tokens")), "many")
+    within = _links_of_few(sets.where("few").select("grp", "cls", "tokens"), percent).union(_links_within(many, percent))
+    links = stored(within, "found")
+    discard(present, sets, many)
     roots = components(links)
 
     found = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
