@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm.bitmaps import Bloom, bloom_of, merged
-from ledgerline.llm.common import discard, map_texts, stored, text_slices
+from ledgerline.llm.common import discard, stored, text_slices
 from ledgerline.llm.graph import components
 from ledgerline.llm.textscan import Texts, mix
 
@@ -594,31 +594,45 @@ def keep_one(
     """The rows of docs without near copies: of each component the row with the smallest id
     (rows without an id come last), one row where several share that id. Rows without words all
     stay. Further columns are carried along whatever their names."""
-    found = join(docs, id_col, text_col, words, percent)
-    first = (
-        found.where("cls is not null").groupBy("root")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "cls")).alias("f"))
-        .select("f.cls", F.col("f.doc_id").alias("id"))
+    found = join(docs, id_col, text_col, words, percent).where("cls is not null")
+    pairs = stored(found.groupBy("root", "cls", "doc_id").agg(F.count("*").alias("held")), "pairs")
+    first = stored(
+        pairs.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "cls")).alias("f"))
+        .select("f.cls", F.col("f.doc_id").alias("id")),
+        "first",
     )
+    # Most rows are the only ones of a pair that stays. The others meet the pairs that stay; none is
+    # missed, as a filter lets every pair through that it was made from.
+    kept = pairs.alias("p").join(first.alias("f"), F.expr("p.cls = f.cls and p.doc_id <=> f.id"), "left")
+    unsure = kept.where("f.cls is null or p.held > 1").select("p.cls", "p.doc_id")
+    sent = docs.sparkSession.sparkContext.broadcast(
+        bloom_of(unsure, CLASS_BITS, lambda b: _pair(b.column(0).to_numpy(), b.column(1).fill_null(0).to_numpy())).bytes
+    )  # 2^CLASS_BITS bits
     # The text is handed on once, beside the rest of the row.
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     own_id = F.col(f"`{id_col}`").cast("long")
     shaped = docs.select(F.struct(*rest).alias("row"), F.col(f"`{text_col}`").alias("text"), own_id.alias("id"))
 
-    def make():
-        def classes(texts: pa.Array) -> dict:
-            sets = _Sets(texts, words)
-            return {"cls": pa.array(sets.cls, mask=sets.sizes == 0)}
-
-        return classes
-
-    rows = map_texts(shaped, "text", make, [T.StructField("cls", T.LongType())])
-    hits = rows.alias("r").join(first.alias("f"), F.expr("r.cls = f.cls and r.id <=> f.id")).select("r.*")
+    def run(batches):
+        bloom = Bloom(CLASS_BITS, sent.value)
+        for batch in batches:
+            ids = batch.column(2).fill_null(0).to_numpy()
+            for a, b in text_slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                sets = _Sets(part.column(1), words)
+                again = bloom.has(_pair(sets.cls, ids[a:b])) & (sets.sizes > 0)
+                added = [pa.array(sets.cls, mask=sets.sizes == 0), pa.array(again)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=["row", "text", "id", "cls", "unsure"])
+
+    added = [T.StructField("cls", T.LongType()), T.StructField("unsure", T.BooleanType())]
+    rows = shaped.mapInArrow(run, T.StructType([*shaped.schema.fields, *added]))
+    unsure_rows = rows.where("unsure")
+    hits = unsure_rows.alias("r").join(first.alias("f"), F.expr("r.cls = f.cls and r.id <=> f.id")).select("r.*")
     # Rows alike in id and shingles may differ in text; a task that runs again keeps the same one.
     order = [F.xxhash64("text"), F.xxhash64(F.to_json("row"))]
     once = Window.partitionBy("cls", "id").orderBy(*order)
-    kept = hits.withColumn("again", F.row_number().over(once)).where("again = 1").select("row", "text")
-    whole = kept.union(rows.where("cls is null").select("row", "text"))
+    chosen = hits.withColumn("again", F.row_number().over(once)).where("again = 1").select("row", "text")
+    whole = rows.where("not unsure").select("row", "text").union(chosen)
     return whole.select(
         *[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns]
     )

@@ -56,3 +56,13 @@ def test_groups_of_few_and_of_many(spark, monkeypatch, sets, tokens):
     monkeypatch.setattr(jaccard_groups, "FEW_TOKENS", tokens)
     rows = _families(9)
     assert _components(spark, rows, 4, 85) == brute_components([(*r, None) for r in rows], 4, 85)
+
+
+def test_rows_without_copies_are_not_moved(spark):
+    """A text that stays anyway goes through no shuffle: rows of a partition stay together."""
+    rows = [(i, text) for i, text in _families(2)[60:]] + [(900, "a b c d e f g"), (900, "a b c d e f g"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("from", F.spark_partition_id())
+    kept = jaccard_groups.keep_one(docs).withColumn("to", F.spark_partition_id()).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(str(i) for i in [*range(60, 120), 900, None])
+    places = {(r["from"], r["to"]) for r in kept if r["doc_id"] != 900}
+    assert len(places) == len({f for f, _ in places}) == 3
